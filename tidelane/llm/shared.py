@@ -19,10 +19,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, lost executors cost nothing, and the next join deals rows afresh."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

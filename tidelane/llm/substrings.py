@@ -289,7 +289,7 @@ def _subtrees(batches):
 _OUT = "doc_id long, text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>"
 
 
-def _removed(shape: Shape):
+def _removed(shape: Shape, keep: tuple[str, ...]):
     def run(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
         docs, ids = _bucket(docs)
         kinds = replies.column("kind").to_numpy()
@@ -304,7 +304,6 @@ def _removed(shape: Shape):
             number = np.array([next((m for m in range(n, len(ids)) if ids[m] == i and (int(i), int(a), m) in place), n) for n, i, a in zip(number.tolist(), far_doc, far_at, strict=True)], np.int64)
         gone_doc, gone_at = np.concatenate([doc[~first], number]), np.concatenate([at[~first], far_at])
         texts, n_words, n_removed, spans = [], [], [], []
-        source, _ = buffers(docs.column("text"))
         for a, s in pieces:
             n = len(s.offsets) - 1
             mine = (gone_doc >= a) & (gone_doc < a + n)
@@ -323,10 +322,10 @@ def _removed(shape: Shape):
             begins, ends = np.sort(np.append(np.flatnonzero(edge == 1), split)), np.sort(np.append(np.flatnonzero(edge == -1), split))
             owner = s.doc_of(begins)
             spans.append((np.bincount(owner, minlength=n), begins - s.offsets[owner], ends - s.offsets[owner]))
-        kept = pa.concat_arrays([x for (a, s, keep), part in zip(texts, _slices(docs, 4 << 20), strict=True) for x in [kept_text(part[2], s, keep)]]) if texts else pa.array([], pa.large_string())
+        kept = pa.concat_arrays([x for (a, s, stay), part in zip(texts, _slices(docs, 4 << 20), strict=True) for x in [kept_text(part[2], s, stay)]]) if texts else pa.array([], pa.large_string())
         counts, begins, ends = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 3
         listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(begins.astype(np.int64)), pa.array(ends.astype(np.int64))], names=["start", "end"]))
-        return pa.Table.from_arrays([docs.column("doc_id").cast(pa.int64()), kept.cast(pa.string()), pa.array(np.concatenate(n_words).astype(np.int64) if n_words else [], pa.int64()), pa.array(np.concatenate(n_removed).astype(np.int64) if n_removed else [], pa.int64()), listed], names=["doc_id", "text", "n_words", "n_removed", "spans"])
+        return pa.Table.from_arrays([docs.column("doc_id").cast(pa.int64()), kept.cast(pa.string()), pa.array(np.concatenate(n_words).astype(np.int64) if n_words else [], pa.int64()), pa.array(np.concatenate(n_removed).astype(np.int64) if n_removed else [], pa.int64()), listed, *(docs.column(c) for c in keep)], names=["doc_id", "text", "n_words", "n_removed", "spans", *keep])
 
     return run
 
@@ -351,12 +350,12 @@ def kept_text(text: np.ndarray, s: Suffixes, keep: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(out[mask]))
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, prefix: int = 6) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, prefix: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word that a window of ``window`` words covers whose words also start earlier
     (smaller doc_id, or the same document further left).
 
-    Takes doc_id and text; other columns are ignored. Returns doc_id, text (kept words joined by one
-    space), n_words, n_removed and spans (removed word ranges, end exclusive), one row for each input
+    Takes doc_id and text; other columns than those of ``keep`` are ignored. Returns doc_id, text (kept words joined by one
+    space), n_words, n_removed, spans (removed word ranges, end exclusive) and ``keep``, one row for each input
     row. Null texts count as empty and give empty text. Null doc_ids come last; rows of one
     doc_id are ordered by text. Empty tables give empty results.
     """
@@ -365,12 +364,14 @@ def dedup_substrings(docs: DataFrame, window: int = 20, prefix: int = 6) -> Data
     size = text_bytes(docs)
     n_buckets = max(64, -(-size // BUCKET_BYTES))
     n_parts = max(shuffle_partitions(spark), -(-size // (32 << 20)))
-    docs = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     ddl = "part int, bucket int, fps binary, buckets binary"
     reply = "bucket int, kind int, fps binary, docs binary, at binary"
     asked = docs.select("bucket", "text").mapInArrow(_short_prefixes(8 * n_parts, shape), ddl)
     short = materialise(asked.repartition(n_parts, "part").mapInArrow(_repeated_prefixes, reply))
     frequent = frequent_prefixes(docs, shape)
-    dealt = docs.groupBy("bucket").cogroup(short.groupBy("bucket")).applyInArrow(_suffixes_out(8 * n_parts, shape, frequent), "part int, bucket int, groups binary, paths binary, docs binary, at binary")
+    dealt = docs.select("bucket", "doc_id", "text", *keep).groupBy("bucket").cogroup(short.groupBy("bucket")).applyInArrow(_suffixes_out(8 * n_parts, shape, frequent), "part int, bucket int, groups binary, paths binary, docs binary, at binary")
     repeats = dealt.repartition(n_parts, "part").mapInArrow(_subtrees, reply)
-    return docs.groupBy("bucket").cogroup(short.union(repeats).groupBy("bucket")).applyInArrow(_removed(shape), _OUT)
+    schema = ", ".join([_OUT, *(f"`{c}` {kinds[c]}" for c in keep)])
+    return docs.select("bucket", "doc_id", "text", *keep).groupBy("bucket").cogroup(short.union(repeats).groupBy("bucket")).applyInArrow(_removed(shape, keep), schema)
