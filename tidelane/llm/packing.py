@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelane.llm.shared import materialise
 from tidelane.llm.tokens import encoder
@@ -130,10 +131,10 @@ def pack(table: DataFrame, capacity: int = 4096) -> DataFrame:
     """
     spark = table.sparkSession
     names = table.columns
-    schema = table.schema.add("level", "int").add("number", "int").add("bin", "int").add("at", "long").add("fill", "double")
+    schema = T.StructType([*table.schema.fields, *(T.StructField(c, t) for c, t in (("level", T.IntegerType()), ("number", T.IntegerType()), ("bin", T.IntegerType()), ("at", T.LongType()), ("fill", T.DoubleType())))])
 
     def packed(level: int):
-        def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             lengths = group["length"].tolist()
             bins = local_search(best_fit(lengths, capacity), lengths, capacity)
             which, at, fill = (np.zeros(len(group), t) for t in (np.int32, np.int64, float))

@@ -101,12 +101,12 @@ class Lexicon:
             keys, symbols, weights = table
             if not len(keys) or not len(at):
                 return
-            h = span_hashes_at(text, starts[at], stops)
+            h = hashes(starts[at], stops)
             place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             ok = (keys[place] == h) & ((symbol[at] == PLAIN) | (symbols[place] == INSULT)) & (weights[place] > weight[at])
             symbol[at[ok]], weight[at[ok]] = symbols[place[ok]], weights[place[ok]]
 
-        span_hashes_at = _hasher(text)
+        hashes = _hasher(text)
         fill(self.word, np.arange(len(starts)), ends)
         for n, table in self.begin.items():
             at = np.flatnonzero(ends - starts >= n)
