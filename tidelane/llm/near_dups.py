@@ -9,9 +9,9 @@ Equal sets are one *class* throughout, so copies meet once. Within a bucket cand
 a star: each slice of documents links its members to its smallest class, and only that one goes
 on to the bucket's global star; a bucket gives fewer edges than it has members. Edges are
 confirmed on whole sets. A star can miss a link between two members that are both unlike its
-centre, so members of buckets that still hold several components are compared across
-components, in tiles of bounded size (their bins must agree often enough), and what agrees is
-confirmed on whole sets too.
+centre. So in buckets that still hold several components, members of different ones whose bins agree
+often enough are suspects; suspects of all buckets form families, and a family's members meet
+once with their whole sets, in tiles of bounded size. Nothing emitted grows with pairs.
 """
 
 from __future__ import annotations
@@ -145,34 +145,87 @@ def _global_stars(batches):
     yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
 
 
-def _tile_pairs(batches):
-    """Pairs of different components in each tile pair (bucket, i, j) whose bins agree often enough; each row is a member of tile ``own``."""
-    seen = []
-    rows = pa.Table.from_batches(list(batches))
-    if not rows.num_rows:
+class Tiles:
+    """Rows of one task in runs of one tile pair (group, i, j); a row stands in tile ``own``."""
+
+    def __init__(self, batches):
+        rows = pa.Table.from_batches(batches)
+        self.rows = rows.sort_by([("group", "ascending"), ("i", "ascending"), ("j", "ascending")]) if rows.num_rows else rows
+        column = lambda c: self.rows.column(c).to_numpy()
+        group, self.i, self.j, self.own, self.key, self.component, self.n = map(column, ("group", "i", "j", "own", "key", "component", "n"))
+        self.sketch = np.frombuffer(b"".join(self.rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        new = np.ones(len(group), bool)
+        new[1:] = (group[1:] != group[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
+        self.cuts = np.append(np.flatnonzero(new), len(group)).tolist()
+
+    def __iter__(self):
+        """(first row, end row, rows of the first tile, rows of the second)."""
+        for lo, hi in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            own = self.own[lo:hi]
+            yield lo, hi, np.flatnonzero(own == self.i[lo]) + lo, np.flatnonzero(own == self.j[lo]) + lo
+
+    def alike(self, p: int, others: np.ndarray) -> np.ndarray:
+        """Those of other components whose size and bins allow a link with row p."""
+        q = others[(self.component[others] != self.component[p]) & (self.n[others] * 5 >= self.n[p] * 4) & (self.n[p] * 5 >= self.n[others] * 4)]
+        return q[(self.sketch[q] == self.sketch[p]).sum(1) >= AGREE] if len(q) else q
+
+
+def _edges(pairs: list[tuple[int, int]]):
+    e = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+
+
+def _suspects(batches):
+    """A spanning forest of the graph of members of different components that may be linked, for each tile pair of a bucket."""
+    batches = list(batches)
+    if not batches:
         return
-    rows = rows.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
-    cols = [rows.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "key", "component", "n")]
-    bucket, i, j, own, key, component, n = cols
-    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-    new = np.ones(len(bucket), bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-    at = np.append(np.flatnonzero(new), len(bucket))
-    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        left = np.flatnonzero(own[lo:hi] == i[lo]) + lo
-        right = np.flatnonzero(own[lo:hi] == j[lo]) + lo
+    tiles, edges = Tiles(batches), []
+    for lo, hi, left, right in tiles:
+        tree = np.arange(hi - lo)
         for p in left.tolist():
-            q = right[(component[right] != component[p]) & (n[right] * 5 >= n[p] * 4) & (n[p] * 5 >= n[right] * 4)]
-            if i[lo] == j[lo]:
-                q = q[key[q] > key[p]]
+            q = tiles.alike(p, right)
             if len(q):
-                q = q[(sketch[q] == sketch[p]).sum(1) >= AGREE]
-                seen.append(np.stack([np.minimum(key[p], key[q]), np.maximum(key[p], key[q])], 1))
-        if len(seen) > 4096:
-            seen = [np.unique(np.concatenate(seen), axis=0)]
-    if seen:
-        e = np.unique(np.concatenate(seen), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+                trees = np.unique(tree[np.append(q, p) - lo])
+                if len(trees) > 1:
+                    tree[np.isin(tree, trees)] = trees[0]
+                    edges += [(int(tiles.key[lo + trees[0]]), int(tiles.key[lo + t])) for t in trees[1:].tolist()]
+    yield _edges(edges)
+
+
+def _confirmed(numerator: int):
+    """Links between components in each tile pair of a family, on whole sets; two components that are linked already are not compared again."""
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        tiles, edges = Tiles(batches), []
+        items = tiles.rows.column("items").combine_chunks() if tiles.rows.num_rows else None
+        for lo, hi, left, right in tiles:
+            tree = tiles.component[lo:hi].copy()
+            for p in left.tolist():
+                own = None
+                for q in tiles.alike(p, right).tolist():
+                    if tree[p - lo] == tree[q - lo]:
+                        continue
+                    own = items[p].values.to_numpy() if own is None else own
+                    other = items[q].values.to_numpy()
+                    common = common_count(own, other)
+                    if common * 100 >= numerator * (len(own) + len(other) - common):
+                        edges.append((int(tiles.key[p]), int(tiles.key[q])))
+                        tree[tree == tree[q - lo]] = tree[p - lo]
+        yield _edges(edges)
+
+    return run
+
+
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets of unsigned hashes held as signed."""
+    a, b = a.view(U64), b.view(U64)
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum()) if len(a) else 0
 
 
 def _agreeing(batches):
@@ -209,13 +262,16 @@ def near_duplicates(docs: DataFrame, numerator: int = 80) -> DataFrame:
     stars = classes.select("key", "bands").mapInArrow(_local_stars(8 * parts), "part int, x binary, y binary").repartition(parts, F.col("part"), F.when(F.col("part") < 0, F.hash("x")))
     edges = stars.mapInArrow(_global_stars, "a long, b long").distinct()
     sketches = classes.select("key", "sketch")
+    edges = materialise(edges)
+    sets = _class_sets(docs, classes, edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct())
     pairs = edges.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
-    links = confirm(docs, classes, materialise(pairs), numerator)
+    links = confirm(sets, pairs, numerator)
     found = components(links)
-    members = classes.select("key", "n", "bands", "sketch").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "bands", "sketch", F.coalesce("root", "key").alias("component"))
-    rest = materialise(_across(materialise(members), parts))
-    if not rest.isEmpty():
-        links = links.union(confirm(docs, classes, rest, numerator))
+    # only classes that share a bucket with another can have further links
+    members = classes.select("key", "n", "bands", "sketch").join(sets.select("key"), "key", "left_semi").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "bands", "sketch", F.coalesce("root", "key").alias("component"))
+    rest = _across(materialise(members), sets, parts, numerator)
+    if rest is not None:
+        links = links.union(rest)
         found = components(links)
     roots = found.withColumnRenamed("node", "key")
     named = classes.select("key", "rep").join(roots, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
@@ -238,27 +294,43 @@ def _bucket_rows(batches):
     for batch in batches:
         bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
         at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-        yield pa.RecordBatch.from_arrays([pa.array(bands), *(batch.column(c).take(at) for c in ("key", "component", "n"))], names=["bucket", "key", "component", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(bands), *(batch.column(c).take(at) for c in ("key", "component", "n"))], names=["group", "key", "component", "n"])
 
 
-def _across(members: DataFrame, parts: int) -> DataFrame:
-    """Candidate pairs of different components that share a bucket."""
-    mixed = members.select("component", "bands").mapInArrow(_spread, "bucket long, component long").groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-    rows = materialise(members.select("key", "component", "n", "bands").mapInArrow(_bucket_rows, "bucket long, key long, component long, n long").join(materialise(mixed), "bucket", "left_semi"))
-    tiles = rows.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    # a member of tile t takes part in every pair of tiles that holds t
-    dealt = rows.join(materialise(tiles), "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("bucket", "key", "component", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(members.select("key", "sketch"), "key").select("bucket", "i", "j", "own", "key", "component", "n", "sketch")
-    return dealt.repartition(parts, "bucket", "i", "j").mapInArrow(_tile_pairs, "a long, b long").distinct()
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (group, key, component, n) once for each tile pair (i, j) of their group that holds them; tiles have about ``TILE`` rows."""
+    tiles = rows.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = rows.join(materialise(tiles), "group").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("group", "key", "component", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, numerator: int) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, parts: int, numerator: int) -> DataFrame | None:
+    """Links between members of different components that share a bucket.
+
+    Suspects (bins agree often enough) of all buckets form families; each family's members meet
+    once, with their whole sets. What is dealt out grows with members, not with pairs.
+    """
+    mixed = members.select("component", "bands").mapInArrow(_spread, "bucket long, component long").groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(F.col("bucket").alias("group"))
+    rows = members.select("key", "component", "n", "bands").mapInArrow(_bucket_rows, "group long, key long, component long, n long")
+    rows = materialise(rows.join(materialise(mixed), "group", "left_semi"))
+    sketches = members.select("key", "sketch")
+    suspects = _dealt(rows).join(sketches, "key").repartition(parts, "group", "i", "j").mapInArrow(_suspects, "a long, b long")
+    families = components(suspects)
+    if families.isEmpty():
+        return None
+    rows = materialise(families.select(F.col("node").alias("key"), F.col("root").alias("group")).union(families.select("root", "root").distinct()).distinct().join(members.select("key", "component", "n"), "key").select("group", "key", "component", "n"))
+    met = _dealt(rows).join(sketches, "key").join(sets, "key").repartition(parts, "group", "i", "j")
+    return materialise(met.mapInArrow(_confirmed(numerator), "a long, b long"))
+
+
+def _class_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, items): whole sets of the classes named."""
+    reps = materialise(classes.select("key", "rep").join(keys, "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
+    return materialise(docs.join(reps, docs["doc_id"].eqNullSafe(reps["doc_id"])).select("key", "text").mapInArrow(_sets, "key long, items array<long>"))
+
+
+def confirm(sets: DataFrame, pairs: DataFrame, numerator: int) -> DataFrame:
     """Those (a, b) whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    reps = materialise(classes.select("key", "rep").join(wanted, "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
-    texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["doc_id"])).select("key", "text").mapInArrow(_sets, "key long, items array<long>")
-    sets = materialise(texts)
-    both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    met = materialise(pairs).join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
     common = F.size(F.array_intersect("x", "y"))
-    return materialise(both.where(common * 100 >= F.lit(numerator) * (F.size("x") + F.size("y") - common)).select("a", "b"))
+    return materialise(met.where(common * 100 >= F.lit(numerator) * (F.size("x") + F.size("y") - common)).select("a", "b"))
