@@ -63,6 +63,11 @@ def average_rank(x: str, within: str = "") -> str:
     return f"(rank() OVER ({part}ORDER BY {x}) + (count(*) OVER ({same}) - 1) / 2.0)"
 
 
+def digits(x: str) -> str:
+    """A double to six places; exact halves, which engines' last bits would send either way, go up."""
+    return f"round({x} + 1e-9, 6)"
+
+
 _DECIMAL = re.compile(r"(?<![\w.])(\d+\.\d+)(?![\w.])")
 
 

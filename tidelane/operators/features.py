@@ -59,7 +59,7 @@ def microstructure(long=480, least=160) -> Layers:
         "taker_buy_ratio_mean_5": roll("avg", "aggressive_buy_ratio", 5, 2),
         "taker_buy_ratio_mean_15": roll("avg", "aggressive_buy_ratio", 15, 5),
         "taker_buy_ratio_change_1h": f"aggressive_buy_ratio - {lag('aggressive_buy_ratio')}",
-        "flow_price_divergence": "sign(order_imbalance_1h) * sign(price_step)",
+        "flow_price_divergence": "CAST(sign(order_imbalance_1h) * sign(price_step) AS DOUBLE)",
     }
     return [first, second, third]
 
@@ -94,7 +94,7 @@ def derivatives(long=180, least=60, basis=240) -> Layers:
         "futures_basis_change_1h": f"futures_spot_basis - {lag('futures_spot_basis')}",
     }
     third = {"streak_run": run}
-    fourth = {"funding_streak": "funding_sign * row_number() OVER (PARTITION BY symbol, streak_run ORDER BY h)"}
+    fourth = {"funding_streak": "CAST(funding_sign * row_number() OVER (PARTITION BY symbol, streak_run ORDER BY h) AS BIGINT)"}
     return [first, second, third, fourth]
 
 
@@ -116,7 +116,7 @@ def sentiment(long=90, least=30) -> Layers:
         "moved": "CASE WHEN abs(change) >= 5 THEN 1 ELSE 0 END",
     }
     third = {"quiet_run": "sum(1 - moved) OVER (PARTITION BY symbol ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
-    fourth = {"days_since_change": "sum(moved) OVER (PARTITION BY symbol, quiet_run ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
+    fourth = {"days_since_change": "CAST(sum(moved) OVER (PARTITION BY symbol, quiet_run ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)"}
     return [first, second, third, fourth]
 
 
@@ -133,7 +133,7 @@ def context() -> Layers:
         "ctx_4h_volatility": roll("stddev_pop", "ctx_4h_return_1", 20, 8),
         "ctx_1d_volatility": roll("stddev_pop", "ctx_1d_return_1", 30, 10),
         "ctx_vol_10": roll("stddev_pop", "ctx_1d_return_1", 10, 5),
-        "htf_bias": "(sign(ctx_4h_return_1) + sign(ctx_1d_return_1)) / 2",
+        "htf_bias": "(sign(ctx_4h_return_1) + sign(ctx_1d_return_1)) / 2.0",
     }
     return [first, second, {"vol_regime_ratio": ratio("ctx_vol_10", "ctx_1d_volatility")}]
 

@@ -6,17 +6,14 @@ DataFrames, so Catalyst prunes columns and merges scans, and candles are aggrega
 
 from __future__ import annotations
 
-from tidelane.functions.portable import average_rank, lag, lead, roll, wilson
+from tidelane.functions.portable import average_rank, digits, lag, lead, roll, wilson
 from tidelane.sources.candles import DAILY, HOURLY, HOURLY_ALL
 
 HOURS = f"c AS ({HOURLY})"
 ALL = f"a AS ({HOURLY_ALL})"
 DAYS = f"d AS ({DAILY})"
-R = "round({x}, 6) AS {x}"
-
-
 def rounded(*columns: str) -> str:
-    return ", ".join(R.format(x=c) for c in columns)
+    return ", ".join(f"{digits(c)} AS {c}" for c in columns)
 
 
 PLANS: dict[str, str] = {}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelane.functions.portable import digits
 from tidelane.functions.portable import duckdb as in_duckdb
 from tidelane.functions.portable import spark as in_spark
 from tidelane.operators import asof, bootstrap, features, models, recurrences
@@ -28,14 +29,22 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+#: Whole numbers among the features.
+WHOLE = {"funding_streak", "days_since_change", "regime", "regime_change", "above_ma30"}
+
+
+def _shown(name: str) -> str:
+    return name if name in WHOLE else f"{digits(name)} AS {name}"
+
+
 def _rounded(names: list[str]) -> str:
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+    return ", ".join(map(_shown, names))
 
 
 # --- feature groups ------------------------------------------------------------------------------------------
 def _group(name: str, source: Callable[[SparkSession, str], DataFrame], source_sql: str, layers: features.Layers, hide: tuple[str, ...] = (), with_source: tuple[str, ...] = ()) -> None:
     columns = [*with_source, *features.names(layers, *hide)]
-    _add(name, lambda spark, sf: features.add(source(spark, sf), [{n: in_spark(e) for n, e in layer.items()} for layer in layers]).selectExpr("symbol", "h", *(f"round({n}, 6) AS {n}" for n in columns)), f"WITH {features.sql(source_sql, layers)} SELECT symbol, h, {_rounded(columns)} FROM f")
+    _add(name, lambda spark, sf: features.add(source(spark, sf), [{n: in_spark(e) for n, e in layer.items()} for layer in layers]).selectExpr("symbol", "h", *map(_shown, columns)), f"WITH {features.sql(source_sql, layers)} SELECT symbol, h, {_rounded(columns)} FROM f")
 
 
 _group("features_technical", lambda s, d: hourly(_events(s, d)), HOURLY, features.technical(), hide=("log_return", "bb_std", "true_range"))
@@ -127,4 +136,4 @@ _add("model_walk_forward", lambda s, d: models.walk_forward(frame(s, d), ["mom",
 _add("model_selection", lambda s, d: models.select(frame(s, d), ["mom", "prob", "r1"]))
 _add("model_permutation_importance", lambda s, d: models.permutation_importance(frame(s, d), ["mom", "prob", "r1"]))
 _add("model_ablation", lambda s, d: models.ablation(frame(s, d), {"trend": ["mom"], "flow": ["prob", "r1"]}))
-_add("streaming_candles", lambda s, d: replay(s, f"{d}/events.parquet").selectExpr("symbol", "h", "trades", "round(high, 6) AS high", "round(low, 6) AS low", "round(volume, 6) AS volume"), f"WITH {HOURS} SELECT symbol, h, CAST(trades AS BIGINT) AS trades, round(high, 6) AS high, round(low, 6) AS low, round(volume, 6) AS volume FROM c")
+_add("streaming_candles", lambda s, d: replay(s, d).selectExpr("symbol", "h", "trades", "round(high, 6) AS high", "round(low, 6) AS low", "round(volume, 6) AS volume"), f"WITH {HOURS} SELECT symbol, h, CAST(trades AS BIGINT) AS trades, round(high, 6) AS high, round(low, 6) AS low, round(volume, 6) AS volume FROM c")

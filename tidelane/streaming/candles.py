@@ -17,11 +17,11 @@ def candles(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return out.select("symbol", (F.unix_timestamp("window.start") / 3600).cast("long").alias("h"), "open", "high", "low", "close", "volume", "trades")
 
 
-def replay(spark: SparkSession, path: str) -> DataFrame:
-    """Run the stream over the files at ``path`` to their end and return its candles."""
-    schema = spark.read.parquet(path).schema
+def replay(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
+    """Run the stream over the files of a folder to their end and return its candles."""
+    schema = spark.read.parquet(f"{folder}/{files}").schema
     name = f"candles_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).parquet(path)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
     query = candles(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
