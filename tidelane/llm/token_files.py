@@ -109,8 +109,9 @@ def _parts(payload: bytes):
 
 def _decode(words: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
     selectors = (words >> U64(60)).astype(np.int64)
+    selectors[raw + 1] = 0  # a raw value, whatever its top bits
     counts = _COUNT[selectors]
-    selectors[raw + 1], counts[raw + 1], counts[raw], selectors[raw] = -1, 0, 1, 0
+    counts[raw] = 1
     begin = np.cumsum(counts) - counts
     out = np.zeros(n, U64)
     for selector in range(1, len(LAYOUT)):

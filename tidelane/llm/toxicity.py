@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm.labelled import FIT_ROWS, held_out, lasso_logistic, sample, sigmoid
+from tidelane.llm.shared import materialise
 from tidelane.llm.textcore import LOWER, NON_ALNUM, U64, buffers, chunks, span_hashes, word_spans
 
 PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -30,7 +31,7 @@ WORDS = {
 }
 PATTERNS = ["bare", "aimed", "negated", "reported", "threat", "aimed_threat"]
 #: Bytes of the word beginnings whose share in toxic texts is learned.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8, 9)
 LEXICON = 4000
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?;:\n"]] = True
@@ -124,12 +125,23 @@ def _hasher(text: np.ndarray):
     return lambda a, b: mix((total[b] - total[a]) * inverse[a] + (b - a).astype(U64) * U64(0xD1B54A32D192ED03))
 
 
-FEATURES = [*(f"log_{p}" for p in PATTERNS), *(f"rate_{p}" for p in PATTERNS[:2]), "any"]
+FEATURES = [*(f"log_{p}" for p in PATTERNS), *(f"rate_{p}" for p in PATTERNS[:2]), "any", "strongest", "strong_sum", "strong_rate"]
+#: Insults above this weight count as strong.
+STRONG = 2.5
+
+
+def lower(text: np.ndarray) -> np.ndarray:
+    """ASCII and two-byte Latin-1 letters in lower case."""
+    out = LOWER[text]
+    if len(out) > 1:
+        at = np.flatnonzero((out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97))
+        out[at + 1] += 0x20
+    return out
 
 
 def features(text: np.ndarray, bounds: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """One row of FEATURES for each document of a slice."""
-    lowered = LOWER[text]
+    lowered = lower(text)
     starts, ends, offsets = word_spans(lowered, bounds, NON_ALNUM)
     symbol, weight = lexicon.look_up(lowered, starts, ends)
     clause = np.cumsum(_STOPS[lowered])[starts] if len(starts) else np.zeros(0, np.int64)
@@ -152,44 +164,62 @@ def features(text: np.ndarray, bounds: np.ndarray, lexicon: Lexicon) -> np.ndarr
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             sums[owner[a]] += match(symbols[a:b], gaps[a:b], weights[a:b])
     words = np.maximum(np.diff(offsets), 1)[:, None]
-    return np.hstack([np.log1p(sums), np.minimum(100 * sums[:, :2] / words, 50) / 10, (sums[:, [0, 1, 4, 5]].sum(1, keepdims=True) > 0).astype(float)])
+    strongest, strong = np.zeros((n, 1)), np.zeros((n, 1))
+    insult = symbol[event] == INSULT
+    np.maximum.at(strongest[:, 0], owner[insult], weight[event[insult]])
+    np.add.at(strong[:, 0], owner[insult], np.maximum(weight[event[insult]] - STRONG, 0))
+    any_hit = (sums[:, [0, 1, 4, 5]].sum(1, keepdims=True) > 0).astype(float)
+    return np.hstack([np.log1p(sums), np.minimum(100 * sums[:, :2] / words, 50) / 10, any_hit, strongest, np.log1p(strong), np.minimum(100 * strong / words, 50) / 10])
 
 
-def learn_lexicon(table: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Insults and word beginnings with weights, from a labelled sample (text, y). A text counts once for each; ``LEXICON`` of each kind at most are kept."""
+def learn_lexicons(table: DataFrame) -> list[Lexicon]:
+    """From a labelled sample (text, y, half): the lexicon of half 0, of half 1, and of both. A text counts once for each item; 4 * ``LEXICON`` at most are kept."""
 
     def run(batches):
         for batch in batches:
             count: Counter = Counter()
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                raw = LOWER[raw]
+            for text, y, half in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "half")), strict=True):
+                raw = lower(np.frombuffer(text.encode(), np.uint8))
                 starts, ends, _ = word_spans(raw, np.array([0, len(raw)]), NON_ALNUM)
-                data = raw.tobytes()
+                data, side = raw.tobytes(), 2 * half + y
                 words = {data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
-                count.update((w, 0, y) for w in words if len(w) <= 40)
+                count.update((w, 0, side) for w in words if len(w) <= 40)
                 for n in BEGINNINGS:
-                    count.update((w, n, y) for w in {w[:n] for w in words if len(w) >= n})
-                count[b"", -1, y] += 1
+                    count.update((w, n, side) for w in {w[:n] for w in words if len(w) >= n})
+                count[b"", -1, side] += 1
             keys = list(count)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array([count[k] * (k[2] == 1) for k in keys], pa.int64()), pa.array([count[k] * (k[2] == 0) for k in keys], pa.int64())], names=["item", "kind", "pos", "neg"])
-
-    totals = table.select("text", "y").mapInArrow(run, "item binary, kind int, pos long, neg long").groupBy("item", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best = totals.where((F.col("kind") < 0) | ((F.col("pos") >= 4) & (F.col("pos") >= 4 * F.col("neg")))).orderBy((F.col("kind") < 0).desc(), (F.col("pos") - 4 * F.col("neg")).desc(), "kind", "item").limit(4 * LEXICON + 1).collect()
-    all_pos, all_neg = next(((r.pos, r.neg) for r in best if r.kind < 0), (0, 0))
+            sides = [pa.array([count[k] * (k[2] == s) for k in keys], pa.int64()) for s in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), *sides], names=["item", "kind", "n0", "p0", "n1", "p1"])
+
+    sums = [F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")]
+    totals = table.select("text", "y", "half").mapInArrow(run, "item binary, kind int, n0 long, p0 long, n1 long, p1 long").groupBy("item", "kind").agg(*sums)
+    pos, neg = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
+    totals = materialise(totals)
+    every = next(((r.p0, r.n0, r.p1, r.n1) for r in totals.where("kind < 0").collect()), (0, 0, 0, 0))
+    rate = (every[0] + every[2] + 1) / (sum(every) + 2)
+    # four times as often in toxic texts as in others, by chance seldom
+    odds = rate / (1 - rate)
+    best = totals.where((F.col("kind") >= 0) & (pos >= 3) & (pos >= 4 * odds * neg)).orderBy((pos - 4 * odds * neg).desc(), "kind", "item").limit(4 * LEXICON).collect()
+    return [_lexicon(best, every, halves) for halves in ((0,), (1,), (0, 1))]
+
+
+def _lexicon(best: list, every: tuple, halves: tuple[int, ...]) -> Lexicon:
+    all_pos, all_neg = (sum(every[2 * h + k] for h in halves) for k in (0, 1))
     found: tuple[dict[str, float], dict[str, float]] = ({}, {})
     for r in best:
-        if r.kind < 0 or not all_pos or not all_neg:
+        pos, neg = sum((r.p0, r.p1)[h] for h in halves), sum((r.n0, r.n1)[h] for h in halves)
+        if pos < 2 or not all_neg:
             continue
         try:
             item = bytes(r.item).decode()
         except UnicodeDecodeError:
             continue
-        weight = float(np.log((r.pos + 0.5) / (all_pos + 1)) - np.log((r.neg + 0.5) / (all_neg + 1)))
+        base = (all_pos + 0.5) / (all_neg + 0.5)
+        weight = float(np.log((pos + 2 * base) / (neg + 2)) - np.log(base))
         mine = found[1 if r.kind else 0]
-        if weight > 2.5 and len(mine) < LEXICON:
+        if weight > 1 and len(mine) < 2 * LEXICON:
             mine[item] = weight
-    return found
+    return Lexicon(*found)
 
 
 def _features(lexicon: Lexicon, keep: list[str]):
@@ -207,15 +237,16 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     """doc_id, held_out, score, predicted (score >= threshold) and the ``keep`` columns of each row of docs.
 
     Learns from ``rows`` labelled rows at most outside fold 0, and from texts alone (of
-    ``learn_from`` if given, else of docs); half of them give the
-    lexicon, the others the weights of patterns. Null texts count as empty and are scored; a null
+    ``learn_from`` if given, else of docs); each half of
+    them is weighted with the lexicon of the other. Null texts count as empty and are scored; a null
     doc_id is held out. With one class or no rows the score is the class's share (0 without rows).
     """
-    table = sample(docs if learn_from is None else learn_from, labels, label, rows)
-    half = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)) == 0
-    lexicon = Lexicon(*learn_lexicon(table.where(half)))
+    table = sample(docs if learn_from is None else learn_from, labels, label, rows).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)).cast("int"))
+    first, second, lexicon = learn_lexicons(table)
     ddl = ", ".join(f"{c} double" for c in FEATURES)
-    fit = table.where(~half).select("y", "text").mapInArrow(_features(lexicon, ["y"]), f"y int, {ddl}").toPandas()
+    # patterns are weighted on texts that their lexicon has not seen
+    parts = [table.where(F.col("half") == h).select("y", "text").mapInArrow(_features(other, ["y"]), f"y int, {ddl}") for h, other in ((0, second), (1, first))]
+    fit = parts[0].union(parts[1]).toPandas()
     x, y = fit[FEATURES].to_numpy(float), fit["y"].to_numpy(float)
     if len(y) and y.min() < y.max():
         order = np.lexsort([*x.T, y])
