@@ -166,3 +166,16 @@ plan("strategy_statistics", HOURS, PREDICTIONS, _STRAT, select=f"SELECT symbol,
 plan("strategy_sweep", HOURS, PREDICTIONS, "s2 AS (SELECT symbol, model, h, y, pred, CASE WHEN pred > 0 THEN 1 ELSE 0 END AS lo, CASE WHEN pred > 0 THEN 1 WHEN pred < 0 THEN -1 ELSE 0 END AS ls FROM m)", select=" UNION ALL ".join(f"SELECT model, '{k}' AS mode, count(*) AS n, round(avg({e} * y), 6) AS mean_return, round(avg(abs({e}) * 1.0), 6) AS exposure FROM s2 GROUP BY model" for k, e in (("long_only", "lo"), ("long_short", "ls"), ("always_long", "1"))))
 plan("equity_fill", HOURS, "z AS (SELECT symbol, h, CASE WHEN h % 4 = 0 THEN close END AS e FROM c)", "k AS (SELECT *, count(e) OVER (PARTITION BY symbol ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM z)", "ff AS (SELECT symbol, h, e, max(e) OVER (PARTITION BY symbol, g) AS fwd, first_value(e) OVER (PARTITION BY symbol ORDER BY CASE WHEN e IS NULL THEN 1 ELSE 0 END, h) AS first_e FROM k)", select="SELECT symbol, h, round(coalesce(fwd, first_e), 6) AS filled FROM ff")
 plan("importance_top_k", HOURS, PREDICTIONS, "f AS (SELECT 'mom' AS feature, abs(corr(mom, y)) AS gain FROM v UNION ALL SELECT 'r1', abs(corr(r1, y)) FROM v UNION ALL SELECT 'prob', abs(corr(prob, y)) FROM v)", select="SELECT feature, round(gain, 6) AS gain FROM f ORDER BY gain DESC, feature LIMIT 2")
+
+# --- further comparisons -------------------------------------------------------------------------------------
+_HALVES = "hf AS (SELECT symbol, h, y, prob, row_number() OVER (PARTITION BY symbol ORDER BY h) * 2 <= count(*) OVER (PARTITION BY symbol) AS early FROM v), tc AS (SELECT symbol, early, t / 10.0 AS threshold, avg(y) AS r, count(*) AS n FROM hf CROSS JOIN (SELECT SEQ_[CAST(5 AS BIGINT); CAST(8 AS BIGINT)] AS t) g WHERE prob >= t / 10.0 GROUP BY symbol, early, t / 10.0)"
+plan("threshold_stability", HOURS, PREDICTIONS, _HALVES, "bt AS (SELECT symbol, early, threshold, row_number() OVER (PARTITION BY symbol, early ORDER BY r DESC, threshold) AS k FROM tc WHERE n >= 10)", select="SELECT a.symbol, round(a.threshold, 2) AS early_threshold, round(b.threshold, 2) AS late_threshold, abs(a.threshold - b.threshold) <= 0.04 AS stable FROM bt a JOIN bt b ON a.symbol = b.symbol AND a.early AND NOT b.early AND a.k = 1 AND b.k = 1")
+plan("target_comparison", HOURS, f"y AS (SELECT symbol, h, {', '.join(f'{lead("close", k)} / close - 1 AS f{k}' for k in (1, 6, 24))} FROM c)", select=" UNION ALL ".join(f"SELECT 'h{k}_{t}' AS target, count(f{k}) AS n, round(avg(CASE WHEN f{k} >= 0.{t} THEN 1.0 WHEN f{k} IS NOT NULL THEN 0.0 END), 6) AS positive_share FROM y" for k, t in ((1, "05"), (6, "05"), (6, "10"), (24, "05"), (24, "20"))))
+plan("per_asset_vs_global", HOURS, PREDICTIONS, _HALF, "own AS (SELECT symbol, avg(y) AS mu FROM ha WHERE model = 'zero' AND i * 2 <= n GROUP BY symbol)", "overall AS (SELECT avg(y) AS mu FROM ha WHERE model = 'zero' AND i * 2 <= n)", select="SELECT t.symbol, round(sqrt(avg((y - own.mu) * (y - own.mu))), 6) AS rmse_own, round(sqrt(avg((y - overall.mu) * (y - overall.mu))), 6) AS rmse_global FROM ha t JOIN own ON t.symbol = own.symbol CROSS JOIN overall WHERE t.model = 'zero' AND t.i * 2 > t.n GROUP BY t.symbol")
+plan("buy_and_hold", HOURS, select="SELECT symbol, round(max_by(close, h) / min_by(open, h) - 1, 6) AS gross, round(max_by(close, h) / min_by(open, h) * 0.999 * 0.999 - 1, 6) AS net, round(min(close) / max(close) - 1, 6) AS worst_span, count(*) AS n_bars FROM c GROUP BY symbol")
+plan("scalar_broadcast_median", HOURS, "md AS (SELECT symbol, PCT_[close; 0.5] AS m FROM c GROUP BY symbol)", select="SELECT c.symbol, c.h, round(c.close - md.m, 6) AS centred FROM c JOIN md ON c.symbol = md.symbol")
+plan("model_table_pivot", HOURS, PREDICTIONS, _MT, select="SELECT symbol, round(max(CASE WHEN model = 'momentum' THEN rmse END), 6) AS momentum, round(max(CASE WHEN model = 'reversal' THEN rmse END), 6) AS reversal, round(max(CASE WHEN model = 'zero' THEN rmse END), 6) AS zero_ FROM mt GROUP BY symbol")
+plan("experiment_comparability", HOURS, "z AS (SELECT symbol, min(h) AS first_h, count(*) AS n FROM c GROUP BY symbol)", select="SELECT first_h, count(*) AS n_series, min(n) AS min_rows, max(n) AS max_rows FROM z GROUP BY first_h")
+plan("drop_report", HOURS, "z AS (SELECT symbol, close > 0 AS priced, h % 50 <> 0 AS kept_grid, count(*) AS n FROM c GROUP BY 1, 2, 3)", select="SELECT symbol, CAST(sum(n) AS BIGINT) AS n_input, CAST(sum(CASE WHEN NOT priced THEN n ELSE 0 END) AS BIGINT) AS dropped_price, CAST(sum(CASE WHEN priced AND NOT kept_grid THEN n ELSE 0 END) AS BIGINT) AS dropped_grid, CAST(sum(CASE WHEN priced AND kept_grid THEN n ELSE 0 END) AS BIGINT) AS n_kept FROM z GROUP BY symbol")
+plan("position_bars", HOURS, PREDICTIONS, _STRAT, "ru AS (SELECT symbol, h, pos, CASE WHEN pos = lag(pos) OVER (PARTITION BY symbol ORDER BY h) THEN 0 ELSE 1 END AS new FROM po)", "rn AS (SELECT symbol, h, pos, sum(new) OVER (PARTITION BY symbol ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ru)", select="SELECT symbol, pos, CAST(run AS BIGINT) AS run, min(h) AS from_h, max(h) AS to_h, count(*) AS bars FROM rn GROUP BY symbol, pos, run")
+plan("shared_features", HOURS, f"w AS (SELECT symbol, {lag('close', 24)} AS lag_24, {roll('avg', 'close', 50)} AS sma_50, {roll('avg', 'close', 650)} AS sma_650 FROM c)", "z AS (SELECT symbol, count(lag_24) AS a, count(sma_50) AS b, count(sma_650) AS d FROM w GROUP BY symbol)", select="SELECT 'lag_24' AS feature, min(a) > 0 AS shared FROM z UNION ALL SELECT 'sma_50', min(b) > 0 FROM z UNION ALL SELECT 'sma_650', min(d) > 0 FROM z")
