@@ -65,6 +65,13 @@ def test_search_recall_and_exact_scores(rows, table):
     assert hits / total >= 0.9
 
 
+def test_search_finds_all_rows_of_a_small_table(spark):
+    rng = np.random.default_rng(1)
+    small = spark.createDataFrame([(i, rng.standard_normal(64).tolist(), 0) for i in range(15)], "vec_id long, embedding array<float>, label int")
+    got = ann.search(small, F.col("vec_id") % 7 == 0, k=20).groupBy("query_id").count().collect()
+    assert sorted((r.query_id, r["count"]) for r in got) == [(0, 14), (7, 14), (14, 14)]
+
+
 def test_empty_tables(spark):
     t = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert grid_join.near_duplicates(t).count() == 0

@@ -163,7 +163,7 @@ def search(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             m, ids, bucket = _matrix(rows.column("vec"), dim)[order], rows.column("vec_id").to_numpy()[order], bucket[order]
             for q, vec, visit in zip(*(asks.column(c).to_pylist() for c in ("query_id", "vec", "buckets")), strict=True):
-                visit = np.frombuffer(visit, np.int64)
+                visit = np.unique(bucket) if visit is None else np.frombuffer(visit, np.int64)
                 lo, hi = np.searchsorted(bucket, visit, "left"), np.searchsorted(bucket, visit, "right")
                 size = hi - lo
                 at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -196,8 +196,17 @@ def search(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
 
     rows = base.select("vec_id", "vec").mapInArrow(dealt, "part int, vec_id long, vec binary, bucket long")
     asks = base.where("asks").select("vec_id", "vec").mapInArrow(asked, "part int, query_id long, vec binary, buckets binary")
+    parts_of = shuffle_partitions(spark)
     near = rows.groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(ranked, "query_id long, ids binary, scores binary")
-    return near.repartition(shuffle_partitions(spark), "query_id").mapInArrow(merged, out)
+    found = materialise(near.repartition(parts_of, "query_id").mapInArrow(merged, out))
+    # queries whose buckets held fewer rows than there are to find visit all of the first table
+    whole = found.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select("query_id")
+    short = materialise(base.where("asks").select(F.col("vec_id").alias("query_id"), "vec").join(whole, "query_id", "left_anti"))
+    if short.isEmpty():
+        return found
+    every = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("part", "query_id", "vec", F.lit(None).cast("binary").alias("buckets"))
+    rest = rows.where(F.col("part") < groups).groupBy("part").cogroup(every.groupBy("part")).applyInArrow(ranked, "query_id long, ids binary, scores binary")
+    return found.join(short, "query_id", "left_anti").unionByName(rest.repartition(parts_of, "query_id").mapInArrow(merged, out))
 
 
 def top(m: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
