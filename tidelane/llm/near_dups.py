@@ -11,7 +11,9 @@ on to the bucket's global star; a bucket gives fewer edges than it has members.
 confirmed on whole sets. A star can miss a link between two members that are both unlike its
 centre. So in buckets that still hold several components, members of different ones whose bins agree
 often enough are suspects; suspects of all buckets form families, and a family's members meet
-once with their whole sets, in tiles of bounded size. Nothing emitted grows with pairs.
+once with their whole sets, in tiles of bounded size. Nothing emitted grows with pairs. Joins are
+hinted as sort-merge, so that plans are the same at every size: no side is broadcast while it is small
+and shuffled, with whole texts, later.
 """
 
 from __future__ import annotations
@@ -264,11 +266,11 @@ def near_duplicates(docs: DataFrame, numerator: int = 80) -> DataFrame:
     sketches = classes.select("key", "sketch")
     edges = materialise(edges)
     sets = _class_sets(docs, classes, edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct())
-    pairs = edges.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
+    pairs = edges.hint("merge").join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb").hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
     links = confirm(sets, pairs, numerator)
     found = components(links)
     # only classes that share a bucket with another can have further links
-    members = classes.select("key", "n", "bands", "sketch").join(sets.select("key"), "key", "left_semi").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "bands", "sketch", F.coalesce("root", "key").alias("component"))
+    members = classes.select("key", "n", "bands", "sketch").join(sets.select("key").hint("merge"), "key", "left_semi").join(found.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("key", "n", "bands", "sketch", F.coalesce("root", "key").alias("component"))
     rest = _across(materialise(members), sets, parts, numerator)
     if rest is not None:
         links = links.union(rest)
@@ -300,7 +302,7 @@ def _bucket_rows(batches):
 def _dealt(rows: DataFrame) -> DataFrame:
     """Rows (group, key, component, n) once for each tile pair (i, j) of their group that holds them; tiles have about ``TILE`` rows."""
     tiles = rows.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    dealt = rows.join(materialise(tiles), "group").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    dealt = rows.join(materialise(tiles).hint("merge"), "group").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("group", "key", "component", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
@@ -312,25 +314,25 @@ def _across(members: DataFrame, sets: DataFrame, parts: int, numerator: int) ->
     """
     mixed = members.select("component", "bands").mapInArrow(_spread, "bucket long, component long").groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(F.col("bucket").alias("group"))
     rows = members.select("key", "component", "n", "bands").mapInArrow(_bucket_rows, "group long, key long, component long, n long")
-    rows = materialise(rows.join(materialise(mixed), "group", "left_semi"))
+    rows = materialise(rows.join(materialise(mixed).hint("merge"), "group", "left_semi"))
     sketches = members.select("key", "sketch")
-    suspects = _dealt(rows).join(sketches, "key").repartition(parts, "group", "i", "j").mapInArrow(_suspects, "a long, b long")
+    suspects = _dealt(rows).join(sketches.hint("merge"), "key").repartition(parts, "group", "i", "j").mapInArrow(_suspects, "a long, b long")
     families = components(suspects)
     if families.isEmpty():
         return None
     rows = materialise(families.select(F.col("node").alias("key"), F.col("root").alias("group")).union(families.select("root", "root").distinct()).distinct().join(members.select("key", "component", "n"), "key").select("group", "key", "component", "n"))
-    met = _dealt(rows).join(sketches, "key").join(sets, "key").repartition(parts, "group", "i", "j")
+    met = _dealt(rows).join(sketches.hint("merge"), "key").join(sets.hint("merge"), "key").repartition(parts, "group", "i", "j")
     return materialise(met.mapInArrow(_confirmed(numerator), "a long, b long"))
 
 
 def _class_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, items): whole sets of the classes named."""
-    reps = materialise(classes.select("key", "rep").join(keys, "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
-    return materialise(docs.join(reps, docs["doc_id"].eqNullSafe(reps["doc_id"])).select("key", "text").mapInArrow(_sets, "key long, items array<long>"))
+    reps = materialise(classes.select("key", "rep").join(keys.hint("merge"), "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
+    return materialise(docs.join(reps.hint("merge"), docs["doc_id"].eqNullSafe(reps["doc_id"])).select("key", "text").mapInArrow(_sets, "key long, items array<long>"))
 
 
 def confirm(sets: DataFrame, pairs: DataFrame, numerator: int) -> DataFrame:
     """Those (a, b) whose whole sets are similar enough."""
-    met = materialise(pairs).join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    met = materialise(pairs).hint("merge").join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x").hint("merge"), "a")
     common = F.size(F.array_intersect("x", "y"))
     return materialise(met.where(common * 100 >= F.lit(numerator) * (F.size("x") + F.size("y") - common)).select("a", "b"))
