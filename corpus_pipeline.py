@@ -33,7 +33,7 @@ def remove_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies."""
-    gone = near_duplicates(docs, numerator=80).where(~F.col("kept")).select("doc_id")
+    gone = near_duplicates(docs, numerator=80, shingle=2).where(~F.col("kept")).select("doc_id")
     return docs.join(materialise(gone).hint("merge"), "doc_id", "left_anti").select(COLUMNS)
 
 

@@ -33,7 +33,7 @@ TILE = 2048
 _SOURCES = np.stack([(mix(np.arange(BINS, dtype=U64) * U64(1_000_003) + U64(k + 1)) % U64(BINS)).astype(np.int64) for k in range(64)])
 
 
-def document_sets(text: np.ndarray, bounds: np.ndarray, n: int = 2) -> list[np.ndarray]:
+def document_sets(text: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each document's word n-grams; with fewer words, of the whole sequence."""
     lowered = LOWER[text]
     starts, ends, offsets = word_spans(lowered, bounds, SPACES)
@@ -83,24 +83,27 @@ def class_key(s: np.ndarray) -> int:
     return int(as_int64(mix(s.sum(dtype=U64, keepdims=True) * U64(3) + mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64, keepdims=True) + U64(len(s))))[0])
 
 
-def _signatures(batches):
-    for batch in batches:
-        raw, offsets = buffers(batch.column("text"))
-        size, key, bands, sketch = [], [], [], []
-        for a, b in chunks(offsets):
-            sets = document_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            size += [len(s) for s in sets]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            own = [None] * len(sets)
-            bins = np.stack([one_permutation(sets[i]) for i in full]) if full else np.zeros((0, BINS), U64)
-            keys, small = band_keys(bins), (mix(bins) >> U64(56)).astype(np.uint8)
-            kb, ks = [None] * len(sets), [None] * len(sets)
-            for j, i in enumerate(full):
-                s = sets[i]
-                own[i] = class_key(s)
-                kb[i], ks[i] = keys[j].tobytes(), small[j].tobytes()
-            key, bands, sketch = key + own, bands + kb, sketch + ks
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "key", "bands", "sketch"])
+def _signatures(shingle: int):
+    def run(batches):
+        for batch in batches:
+            raw, offsets = buffers(batch.column("text"))
+            size, key, bands, sketch = [], [], [], []
+            for a, b in chunks(offsets):
+                sets = document_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
+                size += [len(s) for s in sets]
+                full = [i for i, s in enumerate(sets) if len(s)]
+                own = [None] * len(sets)
+                bins = np.stack([one_permutation(sets[i]) for i in full]) if full else np.zeros((0, BINS), U64)
+                keys, small = band_keys(bins), (mix(bins) >> U64(56)).astype(np.uint8)
+                kb, ks = [None] * len(sets), [None] * len(sets)
+                for j, i in enumerate(full):
+                    s = sets[i]
+                    own[i] = class_key(s)
+                    kb[i], ks[i] = keys[j].tobytes(), small[j].tobytes()
+                key, bands, sketch = key + own, bands + kb, sketch + ks
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "key", "bands", "sketch"])
+
+    return run
 
 
 def _star(bucket: np.ndarray, key: np.ndarray):
@@ -236,28 +239,31 @@ def _agreeing(batches):
         yield batch.filter(pa.array((a == b).sum(1) >= AGREE)).select(["a", "b"])
 
 
-def _sets(batches):
-    for batch in batches:
-        raw, offsets = buffers(batch.column("text"))
-        sets = [s for a, b in chunks(offsets) for s in document_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
-        # rows that share a doc_id can have other texts, whose sets have other keys
-        ours = [i for i, (s, k) in enumerate(zip(sets, batch.column("key").to_pylist(), strict=True)) if len(s) and class_key(s) == k]
-        sets = [sets[i] for i in ours]
-        where = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(ours, pa.int64())), pa.ListArray.from_arrays(pa.array(where), pa.array(as_int64(np.concatenate(sets)) if sets else [], pa.int64()))], names=["key", "items"])
+def _sets(shingle: int):
+    def run(batches):
+        for batch in batches:
+            raw, offsets = buffers(batch.column("text"))
+            sets = [s for a, b in chunks(offsets) for s in document_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)]
+            # rows that share a doc_id can have other texts, whose sets have other keys
+            ours = [i for i, (s, k) in enumerate(zip(sets, batch.column("key").to_pylist(), strict=True)) if len(s) and class_key(s) == k]
+            sets = [sets[i] for i in ours]
+            where = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(ours, pa.int64())), pa.ListArray.from_arrays(pa.array(where), pa.array(as_int64(np.concatenate(sets)) if sets else [], pa.int64()))], names=["key", "items"])
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, numerator: int = 80) -> DataFrame:
-    """Connected components of documents with 100 * intersection >= ``numerator`` * union of their 2-word shingle sets (ASCII lower case).
+def near_duplicates(docs: DataFrame, numerator: int = 80, shingle: int = 2) -> DataFrame:
+    """Connected components of documents with 100 * intersection >= ``numerator`` * union of their sets of ``shingle`` words in a row (ASCII lower case).
 
     Takes doc_id and text, ignores other columns. Returns doc_id, n_shingles, component_id (smallest
     doc_id reachable) and kept (doc_id = component_id), one row for each input row. Texts that are
-    null or without words have no shingles and are linked with nothing. Rows that repeat a doc_id are
+    null or without words have no shingles and are linked with nothing; fewer than ``shingle`` words are one shingle. Rows that repeat a doc_id are
     each returned. Null doc_ids take part; a component of only such has a null id and kept null.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = materialise(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, key long, bands binary, sketch binary"))
+    table = materialise(docs.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, key long, bands binary, sketch binary"))
     filled = table.where("key is not null")
     parts = shuffle_partitions(spark)
     classes = materialise(filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min(F.struct("bands", "sketch")).alias("s")).select("key", "rep", "n", "s.bands", "s.sketch"))
@@ -265,7 +271,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 80) -> DataFrame:
     edges = stars.mapInArrow(_global_stars, "a long, b long").distinct()
     sketches = classes.select("key", "sketch")
     edges = materialise(edges)
-    sets = _class_sets(docs, classes, edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct())
+    sets = _class_sets(docs, classes, edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct(), shingle)
     pairs = edges.hint("merge").join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb").hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
     links = confirm(sets, pairs, numerator)
     found = components(links)
@@ -325,10 +331,10 @@ def _across(members: DataFrame, sets: DataFrame, parts: int, numerator: int) ->
     return materialise(met.mapInArrow(_confirmed(numerator), "a long, b long"))
 
 
-def _class_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
+def _class_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
     """(key, items): whole sets of the classes named."""
     reps = materialise(classes.select("key", "rep").join(keys.hint("merge"), "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
-    return materialise(docs.join(reps.hint("merge"), docs["doc_id"].eqNullSafe(reps["doc_id"])).select("key", "text").mapInArrow(_sets, "key long, items array<long>"))
+    return materialise(docs.join(reps.hint("merge"), docs["doc_id"].eqNullSafe(reps["doc_id"])).select("key", "text").mapInArrow(_sets(shingle), "key long, items array<long>"))
 
 
 def confirm(sets: DataFrame, pairs: DataFrame, numerator: int) -> DataFrame:

@@ -28,7 +28,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), numerator=80)
+    return near_duplicates(_table(spark, sf_dir, "documents"), numerator=80, shingle=2)
 
 
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
