@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -9,17 +12,45 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+KINDS = ("ridge", "random_forest", "boosted")
+#: 300 trees or rounds each; a forest's trees are as deep as Spark ML allows.
 ESTIMATORS = {
-    "ridge": lambda: LinearRegression(labelCol="y", featuresCol="x", elasticNetParam=0.0, regParam=0.1),
-    "random_forest": lambda: RandomForestRegressor(labelCol="y", featuresCol="x", numTrees=20, maxDepth=4, seed=1),
-    "boosted": lambda: GBTRegressor(labelCol="y", featuresCol="x", maxIter=10, maxDepth=3, seed=1),
+    "ridge": lambda regParam=0.1: LinearRegression(labelCol="y", featuresCol="x", elasticNetParam=0.0, regParam=regParam),
+    "random_forest": lambda: RandomForestRegressor(labelCol="y", featuresCol="x", numTrees=300, maxDepth=30, featureSubsetStrategy="0.3", seed=1),
+    "boosted": lambda maxDepth=4: GBTRegressor(labelCol="y", featuresCol="x", maxIter=300, maxDepth=maxDepth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=1),
 }
+#: Choices made on validation rows only. ``alpha`` weighs the sum of squares, so Spark's ``regParam`` is alpha by the number of rows.
+GRIDS = {"ridge": [{"alpha": 1.0}, {"alpha": 10.0}, {"alpha": 100.0}], "random_forest": [{}], "boosted": [{"maxDepth": 3}, {"maxDepth": 5}]}
+#: Fits that run at a time; each is a chain of small jobs.
+AT_ONCE = 8
 
 
-def pipeline(kind: str, columns: list[str]) -> Pipeline:
+def pipeline(kind: str, columns: list[str], **params) -> Pipeline:
     """Median imputation and scaling fitted on the training rows, then the estimator."""
     filled = [f"{c}_" for c in columns]
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), ESTIMATORS[kind]()])
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), ESTIMATORS[kind](**params)])
+
+
+def fit(kind: str, columns: list[str], rows: DataFrame, params: dict):
+    """The pipeline fitted with one entry of ``GRIDS``."""
+    given = {"regParam": params["alpha"] / rows.count()} if "alpha" in params else params
+    return pipeline(kind, columns, **given).fit(rows)
+
+
+def _at_once(work, jobs: list) -> list:
+    with ThreadPool(AT_ONCE) as pool:
+        return pool.map(work, jobs, chunksize=1)
+
+
+def tuned(train: DataFrame, validation: DataFrame, columns: list[str], kinds: tuple[str, ...]) -> dict:
+    """kind: (least validation error, its parameters, the model fitted on train), of each kind's grid; ties go to the first."""
+
+    def one(job):
+        fitted = fit(job[0], columns, train, job[1])
+        return job[0], _rmse(fitted.transform(validation)), job[1], fitted
+
+    tried = _at_once(one, [(k, p) for k in kinds for p in GRIDS[k]])
+    return {k: min((t[1:] for t in tried if t[0] == k), key=lambda t: t[0]) for k in kinds}
 
 
 def split(table: DataFrame, purge: int = 6, shares: tuple[float, float] = (0.7, 0.15)) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -33,29 +64,89 @@ def _rmse(scored: DataFrame) -> float:
     return RegressionEvaluator(labelCol="y", predictionCol="prediction", metricName="rmse").evaluate(scored)
 
 
-def select(table: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("ridge", "random_forest", "boosted")) -> DataFrame:
-    """model, validation and test error and whether it is the choice (least validation error, then name); the choice is fitted again on train and validation before the test."""
-    train, validation, test = split(table)
-    errors = {k: _rmse(pipeline(k, columns).fit(train).transform(validation)) for k in kinds}
-    best = min(errors, key=lambda k: (errors[k], k))
-    final = _rmse(pipeline(best, columns).fit(train.union(validation)).transform(test))
-    return table.sparkSession.createDataFrame([(k, e, final if k == best else None, k == best) for k, e in errors.items()], "model string, validation_rmse double, test_rmse double, chosen boolean")
+def select(table: DataFrame, columns: list[str], kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """model, its parameters, validation and test error and whether it is the choice (least validation error, then name); the choice is fitted again on train and validation before the test."""
+    train, validation, test = split(table.persist())
+    found = tuned(train, validation, columns, kinds)
+    best = min(found, key=lambda k: (found[k][0], k))
+    final = _rmse(fit(best, columns, train.union(validation), found[best][1]).transform(test))
+    return table.sparkSession.createDataFrame([(k, str(p), e, final if k == best else None, k == best) for k, (e, p, _) in found.items()], "model string, params string, validation_rmse double, test_rmse double, chosen boolean")
+
+
+def _half_width(scored: DataFrame, alpha: float) -> float | None:
+    """Split-conformal half width: the ceil((n + 1)(1 - alpha))-th smallest absolute residual; null below 20 rows."""
+    n = scored.count()
+    k = math.ceil((n + 1) * (1 - alpha))
+    if n < 20 or k > n:
+        return None
+    return scored.selectExpr(f"percentile_disc({(k - 0.5) / n}D) WITHIN GROUP (ORDER BY abs(y - prediction)) AS q").first().q
 
 
-def walk_forward(table: DataFrame, columns: list[str], kind: str = "ridge", folds: int = 3, purge: int = 6) -> DataFrame:
-    """Out-of-sample predictions of expanding folds: symbol, h, y, prediction, fold. Training stops ``purge`` hours before each test block."""
+def _baselines(rows: DataFrame, window: int = 24) -> dict[str, float]:
+    """Constant forecasts: zero, the mean and the mean of the last ``window`` targets."""
+    last = rows.orderBy(F.desc("h"), "symbol").limit(window)
+    return {"zero": 0.0, "mean": rows.agg(F.avg("y")).first()[0], "trailing_mean": last.agg(F.avg("y")).first()[0]}
+
+
+def walk_forward(table: DataFrame, columns: list[str], kinds: tuple[str, ...] = KINDS, folds: int = 3, purge: int = 6, alpha: float = 0.1) -> DataFrame:
+    """Out-of-sample predictions of expanding folds: symbol, h, y, model, params, prediction, lo, hi, fold.
+
+    A fold's validation block is as long as its test block and ends ``purge`` hours before it; training ends ``purge``
+    hours before validation. Parameters are chosen on validation, the residuals there give the conformal band (1 - alpha),
+    and the model is fitted again on both before the test. Three constant forecasts are rated beside the models.
+    """
+    table = table.persist()
     lo, hi = table.agg(F.min("h"), F.max("h")).first()
     first = lo + (hi - lo) // 2
     width = (hi - first) // folds + 1
-    out = None
-    for k in range(folds):
+
+    def one(k: int) -> list[DataFrame]:
         a = first + k * width
-        fitted = pipeline(kind, columns).fit(table.where(F.col("h") < a - purge))
-        part = fitted.transform(table.where((F.col("h") >= a) & (F.col("h") < a + width))).select("symbol", "h", "y", "prediction", F.lit(k).alias("fold"))
-        out = part if out is None else out.unionByName(part)
+        train, validation = table.where(F.col("h") < a - width - purge), table.where((F.col("h") >= a - width) & (F.col("h") < a - purge))
+        both, test = train.union(validation), table.where((F.col("h") >= a) & (F.col("h") < a + width))
+        before, after = _baselines(train), _baselines(both)
+        scored = [(m, {}, validation.withColumn("prediction", F.lit(before[m])), test.withColumn("prediction", F.lit(after[m]))) for m in before]
+        found = tuned(train, validation, columns, kinds)
+        again = dict(zip(kinds, _at_once(lambda m: fit(m, columns, both, found[m][1]), list(kinds)), strict=True))
+        scored += [(m, found[m][1], found[m][2].transform(validation), again[m].transform(test)) for m in kinds]
+        out = []
+        for model, params, held, tested in scored:
+            q = F.lit(_half_width(held, alpha)).cast("double")
+            out.append(tested.select("symbol", "h", "y", F.lit(model).alias("model"), F.lit(str(params)).alias("params"), "prediction", (F.col("prediction") - q).alias("lo"), (F.col("prediction") + q).alias("hi"), F.lit(k).alias("fold")))
+        return out
+
+    parts = [part for fold in _at_once(one, list(range(folds))) for part in fold]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
+def gain_importance(table: DataFrame, columns: list[str], kind: str = "boosted", top: int = 2) -> DataFrame:
+    """feature, gain (share of the fitted trees' gains, from the training rows) and rank of the ``top`` features; ties go by name."""
+    gains = pipeline(kind, columns).fit(split(table)[0]).stages[-1].featureImportances.toArray().tolist()
+    ranked = sorted(zip(columns, gains, strict=True), key=lambda x: (-x[1], x[0]))[:top]
+    return table.sparkSession.createDataFrame([(c, g, i + 1) for i, (c, g) in enumerate(ranked)], "feature string, gain double, rank int")
+
+
+def per_asset(table: DataFrame, columns: list[str], kind: str = "boosted") -> DataFrame:
+    """symbol, test rows, and test errors of a model fitted on the symbol's own rows and of one fitted on all symbols' with their number as a feature."""
+    table = table.persist()
+    symbols = sorted(r.symbol for r in table.select("symbol").distinct().collect())
+    number = F.create_map(*[F.lit(x) for i, s in enumerate(symbols) for x in (s, float(i))])
+    train, _, test = split(table.withColumn("symbol_id", number[F.col("symbol")]))
+
+    def one(symbol: str | None):
+        return pipeline(kind, columns if symbol else [*columns, "symbol_id"]).fit(train.where(F.col("symbol") == symbol) if symbol else train)
+
+    *own, every = _at_once(one, [*symbols, None])
+    rows = []
+    for symbol, fitted in zip(symbols, own, strict=True):
+        part = test.where(F.col("symbol") == symbol)
+        rows.append((symbol, part.count(), _rmse(fitted.transform(part)), _rmse(every.transform(part))))
+    return table.sparkSession.createDataFrame(rows, "symbol string, n_test long, rmse_own double, rmse_global double")
+
+
 def permutation_importance(table: DataFrame, columns: list[str], kind: str = "ridge", seed: int = 3) -> DataFrame:
     """feature and how much the test error grows when the feature's values are shuffled among rows (by hash order)."""
     train, _, test = split(table)

@@ -130,10 +130,12 @@ _add("threshold_curve", lambda s, d: _curve(s, d).selectExpr("threshold", "n", "
 _add("threshold_selection", lambda s, d: _curve(s, d).where("n >= 30").selectExpr("max_by(threshold, named_struct('r', r, 't', -threshold)) AS threshold", "round(max(r), 6) AS mean_return"), f"WITH {HOURS}, {PREDICTIONS}, cu AS ({_CURVE}) SELECT threshold, round(r, 6) AS mean_return FROM cu WHERE n >= 30 ORDER BY r DESC, threshold LIMIT 1")
 
 # --- resampling, models, streams -----------------------------------------------------------------------------
-_add("bootstrap_block_auc", lambda s, d: bootstrap.paired_block_auc(frame(s, d), "mom", "prob", blocks=24, resamples=200))
-_add("bootstrap_sharpe", lambda s, d: bootstrap.stationary_sharpe(frame(s, d).selectExpr("symbol", "h", "greatest(least(r1, 0.5), -0.5) * 0.01 AS net"), resamples=200))
+_add("bootstrap_block_auc", lambda s, d: bootstrap.paired_block_auc(frame(s, d), "mom", "prob", blocks=24, resamples=1000))
+_add("bootstrap_sharpe", lambda s, d: bootstrap.stationary_sharpe(frame(s, d).selectExpr("symbol", "h", "greatest(least(r1, 0.5), -0.5) * 0.01 AS net"), resamples=1000))
 _add("model_walk_forward", lambda s, d: models.walk_forward(frame(s, d), ["mom", "prob", "r1"], folds=3, purge=6))
 _add("model_selection", lambda s, d: models.select(frame(s, d), ["mom", "prob", "r1"]))
+_add("model_importance_top_k", lambda s, d: models.gain_importance(frame(s, d), ["mom", "prob", "r1"]))
+_add("model_per_asset_vs_global", lambda s, d: models.per_asset(frame(s, d), ["mom", "prob", "r1"]))
 _add("model_permutation_importance", lambda s, d: models.permutation_importance(frame(s, d), ["mom", "prob", "r1"]))
 _add("model_ablation", lambda s, d: models.ablation(frame(s, d), {"trend": ["mom"], "flow": ["prob", "r1"]}))
 _add("streaming_candles", lambda s, d: replay(s, d).selectExpr("symbol", "h", "trades", "round(high, 6) AS high", "round(low, 6) AS low", "round(volume, 6) AS volume"), f"WITH {HOURS} SELECT symbol, h, CAST(trades AS BIGINT) AS trades, round(high, 6) AS high, round(low, 6) AS low, round(volume, 6) AS volume FROM c")
