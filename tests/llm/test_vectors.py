@@ -76,3 +76,12 @@ def test_empty_tables(spark):
     t = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert grid_join.near_duplicates(t).count() == 0
     assert ann.search(t, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_grid_join_keeps_links_beside_rows_without_id(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.0]
+    rows = [(None, v, 0), (5, v, 0), (None, v, 0), (3, v, 0), (None, w, 0), (8, w, 0), (9, [0.0, 0.0, 1.0], 0)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in grid_join.near_duplicates(t).collect()]
+    assert sorted(x for x in got if x[0]) == [(3, 3, 3, True), (5, 3, 3, False), (8, 1, 8, True), (9, 0, 9, True)]
+    assert sorted(x[1] for x in got if x[0] is None) == [1, 3, 3] and all(x[2:] == (None, None) for x in got if x[0] is None)

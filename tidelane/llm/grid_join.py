@@ -171,13 +171,14 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98) -> DataFrame:
     Takes vec_id, embedding and label. Returns vec_id, n_links (other rows linked), component_id
     (smallest vec_id reachable, own included) and kept (vec_id = component_id), one row for each input row. Null labels and
     vectors that are null, zero or hold null or non-finite components link with nothing, nor do vectors
-    of different lengths. Rows that repeat a vec_id are vectors of their own with one component. A null vec_id
-    has null component_id and kept.
+    of different lengths. Rows that repeat a vec_id are vectors of their own with one component. A row with a null vec_id
+    links others and has null component_id and kept.
     """
     spark = table.sparkSession
     eps = float(np.sqrt(max(1e-12, 2 - 2 * threshold))) + 1e-9
     own = materialise(table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding").withColumn("rid", F.monotonically_increasing_id()))
-    rows = usable(own.where(F.col("label").isNotNull()).withColumn("vec_id", F.coalesce("vec_id", F.lit(-(1 << 63) + 1))), "rid", "vec_id", "label")
+    # rows without a vec_id are nodes of their own, numbered from the top, so that they link others but name no component
+    rows = usable(own.where(F.col("label").isNotNull()).withColumn("vec_id", F.coalesce("vec_id", F.lit((1 << 63) - 1) - F.col("rid"))), "rid", "vec_id", "label")
     rows = materialise(rows)
     dim = common_dim(rows)
     basis = directions(*moments(rows, dim, unit=True)) if dim else np.eye(1)
@@ -211,6 +212,6 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98) -> DataFrame:
     met = pairs.join(right, "other").join(left, "block").withColumn("same", F.col("block") == F.col("other"))
     links = materialise(met.select("dim", "same", "ra", "ia", "va", "rb", "ib", "vb").mapInArrow(_joined(basis, threshold), "rid long, n long, a long, b long"))
     counts = links.groupBy("rid").agg(F.sum("n").alias("n"))
-    roots = components(links.where((F.col("a") > -(1 << 63) + 1) & (F.col("b") > -(1 << 63) + 1))).select(F.col("node").alias("vec_id"), "root")
+    roots = components(links).select(F.col("node").alias("vec_id"), "root")
     out = own.select("rid", "vec_id").join(counts, "rid", "left").join(roots, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
