@@ -18,6 +18,8 @@ and shuffled, with whole texts, later.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,8 +81,8 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
 
 
 def class_key(s: np.ndarray) -> int:
-    """Hash of a set, the same for equal sets."""
-    return int(as_int64(mix(s.sum(dtype=U64, keepdims=True) * U64(3) + mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64, keepdims=True) + U64(len(s))))[0])
+    """Strong hash of a sorted set, the same for equal sets."""
+    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _signatures(shingle: int):

@@ -11,12 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm.labelled import FIT_ROWS, held_out, lasso_logistic, sample
-from tidelane.llm.textcore import LOWER, SPACES, U64, buffers, chunks, gram_hashes, mix, runs, span_hashes, word_spans
+from tidelane.llm.textcore import LOWER, SPACES, buffers, chunks, runs, word_codes, word_spans
 
 STATISTICS = ["n_words", "mean_word", "longest_word", "upper", "lower", "digit", "symbol", "stop", "bang", "bar", "non_ascii", "newline", "distinct", "top_word", "distinct_pairs", "n_lines", "distinct_lines", "mean_line", "symbol_ends", "upper_words"]
 
@@ -46,14 +47,13 @@ def _per(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each document: number of distinct hashes, and how often its commonest one occurs."""
-    keys = np.sort(mix(hashes ^ mix(owner.astype(U64) + U64(1))) & ~U64(0xFFFF) | (owner & 0xFFFF).astype(U64)) if n <= 0x10000 else None
-    if keys is None:
-        raise ValueError("too many documents in a slice")
+def _distinct(codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of n documents: number of distinct codes (from 0, dense), and how often its commonest one occurs."""
+    size = int(codes.max()) + 1 if len(codes) else 1
+    keys = np.sort(owner * size + codes)
     first, _ = runs(keys)
     count = np.diff(np.append(first, len(keys)))
-    whose = (keys[first] & U64(0xFFFF)).astype(np.int64)
+    whose = keys[first] // size
     top = np.zeros(n)
     np.maximum.at(top, whose, count)
     return np.bincount(whose, minlength=n).astype(float), top
@@ -69,14 +69,14 @@ def _slice(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n), np.diff(offsets))
     longest = np.zeros(n)
     np.maximum.at(longest, owner, length)
-    hashes = span_hashes(LOWER[text], starts, ends)
-    distinct, top = _distinct(hashes, owner, n)
-    pairs = gram_hashes(hashes, 2)
+    codes, _ = word_codes(LOWER[text], starts, ends)
+    distinct, top = _distinct(codes, owner, n)
     inside = owner[1:] == owner[:-1]
-    distinct_pairs, _ = _distinct(pairs[inside], owner[:-1][inside], n)
+    pairs = pd.factorize((codes[:-1] * (int(codes.max(initial=0)) + 1) + codes[1:])[inside])[0]
+    distinct_pairs, _ = _distinct(pairs, owner[:-1][inside], n)
     a, b, lines = word_spans(text, bounds, _NEWLINE)
     n_lines = np.diff(lines).astype(float)
-    distinct_lines, _ = _distinct(span_hashes(text, a, b), np.repeat(np.arange(n), np.diff(lines)), n)
+    distinct_lines, _ = _distinct(word_codes(text, a, b)[0], np.repeat(np.arange(n), np.diff(lines)), n)
     upper = _UPPER[text]
     out = {
         "n_words": np.log1p(count),

@@ -7,14 +7,13 @@ whatever the batch; a longer document is a slice of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 4 << 20
 
 #: Bytes between words: space and \t \n \v \f \r.
@@ -26,21 +25,6 @@ NON_ALNUM[0:0x30] = NON_ALNUM[0x3A:0x61] = NON_ALNUM[0x7B:0x80] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
-    have = _powers.get(base)
-    if have is None:
-        have = np.ones(1, U64)
-    while len(have) < n:
-        have = np.concatenate([have, have * U64(pow(base, len(have), 1 << 64))])
-    if n <= 1 << 23:
-        _powers[base] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words with good avalanche (the splitmix64 finaliser)."""
     x = x ^ (x >> U64(30))
@@ -88,21 +72,56 @@ def word_spans(text: np.ndarray, bounds: np.ndarray, separators: np.ndarray) ->
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, bounds)
 
 
+def word_codes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Number of each byte span (ascending, apart) in the list of distinct spans, which are told apart by their bytes."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    length = ends - starts
+    if (starts[1:] == ends[:-1]).all():
+        data = text[starts[0] : ends[-1]]
+    else:
+        edge = np.zeros(len(text) + 1, np.int8)
+        edge[starts] += 1
+        edge[ends] -= 1
+        data = text[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    where = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = spans.dictionary_encode()
+    _, where, data = coded.dictionary.buffers()
+    cuts, raw = np.frombuffer(where, np.int64, len(coded.dictionary) + 1).tolist(), data.to_pybytes()
+    return coded.indices.to_numpy().astype(np.int64), [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def strong_hashes(items: list[bytes]) -> np.ndarray:
+    """64 bits of BLAKE2b of each item. Unlike a polynomial of the letters, it has no pairs of texts that anyone knows to collide."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in items]), U64)
+
+
 def span_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans."""
-    total = np.zeros(len(text) + 1, U64)
-    np.cumsum((text.astype(U64) + U64(1)) * powers(_BASE, len(text)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_INVERSE, len(text) + 1)[starts] + (ends - starts).astype(U64) * U64(0xD1B54A32D192ED03))
+    """Strong 64-bit hashes of byte spans (ascending, apart); each distinct span is hashed once."""
+    codes, items = word_codes(text, starts, ends)
+    return strong_hashes(items)[codes] if items else np.zeros(0, U64)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs in order: a mixed tree, not a polynomial."""
+    return mix(mix(a + U64(0x9E3779B97F4A7C15)) ^ (b * U64(0xD1B54A32D192ED03)))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the runs of n consecutive words (empty if there are fewer)."""
-    if len(words) < n:
-        return np.zeros(0, U64)
-    total = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * powers(_BASE, len(words)), out=total[1:])
+    """Hashes of the runs of n consecutive words (empty if there are fewer), joined in a tree of runs of 1, 2, 4, ... words."""
     m = len(words) - n + 1
-    return mix((total[n:] - total[:-n]) * powers(_INVERSE, m) + U64(n))
+    if m <= 0 or n <= 0:
+        return np.zeros(0, U64)
+    out, at, size, run = np.full(m, U64(n)), 0, 1, words
+    while True:
+        if n & size:
+            out = _pair(out, run[at : at + m])
+            at += size
+        if size * 2 > n:
+            return out
+        run = _pair(run[:-size], run[size:])
+        size *= 2
 
 
 def as_int64(x: np.ndarray) -> np.ndarray:

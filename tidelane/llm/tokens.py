@@ -15,10 +15,9 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
-from tidelane.llm.textcore import U64, buffers, chunks, span_hashes
+from tidelane.llm.textcore import buffers, chunks, word_codes
 
 CACHE_WORDS = 400_000
 
@@ -231,7 +230,7 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.extras: list[tuple] = []
@@ -239,16 +238,16 @@ class Encoder:
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _known(self, hashes: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Places in the table of words, given by hash and span."""
-        if len(self.index) + len(hashes) > CACHE_WORDS:
+    def _known(self, words: list[bytes]) -> np.ndarray:
+        """Places of distinct words in the table, which is keyed by their bytes."""
+        if len(self.index) + len(words) > CACHE_WORDS:
             self.reset()
         get = self.index.get
-        found = np.array([get(h, -1) for h in hashes.tolist()], np.int64)
+        found = np.array([get(w, -1) for w in words], np.int64)
         new = np.flatnonzero(found < 0)
         if len(new):
-            raw = text.tobytes()
-            encoded = self.words([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            fresh = [words[i] for i in new.tolist()]
+            encoded = self.words(fresh)
             sizes = np.array([len(x) for x in encoded], np.int32)
             at = len(self.index)
             while at + len(new) > len(self.begin):
@@ -260,7 +259,7 @@ class Encoder:
             self.begin[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.length[at : at + len(new)] = sizes
             self.used += total
-            self.index.update(zip(hashes[new].tolist(), range(at, at + len(new)), strict=True))
+            self.index.update(zip(fresh, range(at, at + len(new)), strict=True))
             found[new] = np.arange(at, at + len(new))
             if self.extra:
                 self.extras += map(self.extra, encoded)
@@ -289,13 +288,8 @@ class Encoder:
                 text = text[np.repeat(keep, np.diff(bounds))]
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
             pre = Pretokens(text, bounds, self.joined)
-            if len(pre.starts):
-                codes, values = pd.factorize(span_hashes(pre.text, pre.starts, pre.ends))
-                first = np.empty(len(values), np.int64)
-                first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-                places = self._known(values, pre.text, pre.starts[first], pre.ends[first])[codes]
-            else:
-                places = np.zeros(0, np.int64)
+            codes, words = word_codes(pre.text, pre.starts, pre.ends)
+            places = self._known(words)[codes] if words else np.zeros(0, np.int64)
             yield a, b, places, pre.offsets, texts
 
     def ids(self, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, report, or plain. Five small transducers read
+Words become symbols: insult, threat, target, negation, report, or plain. Small transducers read
 the symbols of a clause side by side; their product is one deterministic automaton whose output
-says of each insult or threat in which pattern it stands (bare, aimed at a target, negated,
-or reported speech). Weights of insults come from labelled texts: words, and word beginnings for inflected
-or compounded forms, that occur in toxic texts far more often than in others. Matched clauses are
-summed by pattern, and logistic regression over these sums gives the score.
+says of each insult or threat in which pattern it stands: reported (a verb of saying before it in the clause), negated
+(a negation in the ``REACH_NEGATION`` words before it), aimed (a target in the ``REACH_TARGET`` words before it, or
+after it with no other match between), or bare. Weights of insults come from labelled texts: words, and word beginnings for inflected
+or compounded forms, that occur in toxic texts far more often than in others. Nothing but matched clauses is
+scored: logistic regression with weights of 0 or more over three nested tiers (all matches, asserted ones, aimed ones),
+so the same clause scores highest when aimed, less when bare, least when negated or reported.
 """
 
 from __future__ import annotations
@@ -20,16 +22,20 @@ from pyspark.sql import functions as F
 
 from tidelane.llm.labelled import FIT_ROWS, held_out, lasso_logistic, sample, sigmoid
 from tidelane.llm.shared import materialise
-from tidelane.llm.textcore import LOWER, NON_ALNUM, U64, buffers, chunks, span_hashes, word_spans
+from tidelane.llm.textcore import LOWER, NON_ALNUM, buffers, chunks, word_codes, word_spans
 
 PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Contractions stand here by the part before their apostrophe, as words are cut there.
 WORDS = {
     THREAT: "kill hurt destroy beat stab shoot burn töten vernichten schlagen verletzen tuer frapper détruire brûler matar golpear destruir quemar",
-    TARGET: "you your yours you're ya he she they him them her his their du dich dir euch ihr sie er tu te toi vous il elle ils elles usted ustedes ti tú él ella ellos",
-    NEGATION: "not no never nobody isn't aren't don't without nicht kein keine keinen nie niemals ohne pas jamais aucun sans nunca jamás ningún sin",
+    TARGET: "you your yours ya he she they him them her his their du dich dir euch ihr sie er tu te toi vous il elle ils elles usted ustedes ti tú él ella ellos",
+    NEGATION: "not no never nobody cannot without isn aren wasn weren don doesn didn won wouldn shouldn ain nicht kein keine keinen nie niemals ohne pas jamais aucun sans nunca jamás ningún sin",
     REPORT: "said says say called calls claimed wrote quoted reported sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió",
 }
-PATTERNS = ["bare", "aimed", "negated", "reported", "threat", "aimed_threat"]
+PATTERNS = ["bare", "aimed", "negated", "reported"]
+BARE, AIMED, NEGATED, REPORTED = range(4)
+#: Words before an insult or threat that a target and a negation reach; words after it that a target may follow in.
+REACH_TARGET, REACH_NEGATION = 5, 4
 #: Bytes of the word beginnings whose share in toxic texts is learned.
 BEGINNINGS = (4, 5, 6, 7, 8, 9)
 LEXICON = 4000
@@ -42,91 +48,75 @@ def _seen(symbol: int):
     return lambda state, s: 1 if s == symbol else state
 
 
-def _window(symbol: int, width: int):
-    return lambda state, s: width if s == symbol else max(state - 1, 0)
+def _window(symbols: tuple[int, ...], width: int):
+    return lambda state, s: width if s in symbols else max(state - 1, 0)
 
 
-_TARGET, _NEGATED, _REPORTED, _HIT = _window(TARGET, 5), _window(NEGATION, 4), _seen(REPORT), _window(INSULT, 5)
+_TARGET, _NEGATED, _REPORTED = _window((TARGET,), REACH_TARGET), _window((NEGATION,), REACH_NEGATION), _seen(REPORT)
+_HIT = _window((INSULT, THREAT), REACH_TARGET)
+#: Output of the product automaton for a target that follows a bare match and so aims it.
+AIM_LAST = 4
 
 
 @cache
 def step(state: tuple[int, int, int, int], symbol: int) -> tuple[tuple[int, int, int, int], int]:
-    """The product automaton: next state, and the pattern (or -1) of this symbol. A target just after an insult raises the insult: ``aimed`` of the symbol TARGET."""
+    """The product automaton: next state and output. An insult or threat gives its pattern; a target soon after a bare one gives AIM_LAST; else -1."""
     target, negated, reported, hit = state
-    after = (_TARGET(target, symbol), _NEGATED(negated, symbol), _REPORTED(reported, symbol), _HIT(hit, symbol))
-    if symbol == INSULT:
-        return after, 3 if reported else 2 if negated else 1 if target else 0
-    if symbol == THREAT:
-        return after, 3 if reported else 2 if negated else 5 if target else 4
-    if symbol == TARGET and hit and not negated and not reported:
-        return (after[0], after[1], after[2], 0), 1
-    return after, -1
-
-
-def match(symbols: list[int], gaps: list[int], weights: list[float]) -> list[float]:
-    """Sums by pattern of one clause: ``symbols`` other than plain, each after ``gaps`` plain words."""
-    sums = [0.0] * len(PATTERNS)
-    state, last = (0, 0, 0, 0), 0.0
-    for symbol, gap, weight in zip(symbols, gaps, weights, strict=True):
-        for _ in range(min(gap, 6)):
+    after = [_TARGET(target, symbol), _NEGATED(negated, symbol), _REPORTED(reported, symbol), _HIT(hit, symbol)]
+    if symbol in (INSULT, THREAT):
+        out = REPORTED if reported else NEGATED if negated else AIMED if target else BARE
+        if out != BARE:
+            after[3] = 0
+        return tuple(after), out
+    if symbol == TARGET and hit:
+        after[3] = 0
+        return tuple(after), AIM_LAST
+    return tuple(after), -1
+
+
+def match(symbols: list[int], gaps: list[int]) -> list[int]:
+    """Pattern of each insult or threat of one clause: ``symbols`` other than plain, each after ``gaps`` plain words."""
+    found: list[int] = []
+    state = (0, 0, 0, 0)
+    for symbol, gap in zip(symbols, gaps, strict=True):
+        for _ in range(min(gap, REACH_TARGET)):
             state, _ = step(state, PLAIN)
-        state, pattern = step(state, symbol)
-        if pattern >= 0:
-            last = weight if symbol in (INSULT, THREAT) else last
-            sums[pattern] += last if symbol in (INSULT, THREAT) else last * 0.5
-    return sums
+        state, out = step(state, symbol)
+        if out == AIM_LAST:
+            found[-1] = AIMED
+        elif out >= 0:
+            found.append(out)
+    return found
 
 
 class Lexicon:
-    """Hash tables of words and word beginnings with symbol and weight."""
+    """Symbols and weights of words, and weights of word beginnings."""
 
     def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
-        entries = {k.encode(): (INSULT, w) for k, w in words.items()}
-        for symbol, text in WORDS.items():
-            entries |= {w.encode(): (symbol, 1.0) for w in text.split() if w not in words}
-        self.word = self._table(entries)
-        self.begin = {n: self._table({k.encode(): (INSULT, w) for k, w in beginnings.items() if len(k.encode()) == n}) for n in BEGINNINGS}
-
-    @staticmethod
-    def _table(entries: dict[bytes, tuple[int, float]]):
-        text = np.frombuffer(b"".join(entries), np.uint8)
-        ends = np.cumsum([len(k) for k in entries]).astype(np.int64)
-        hashes = span_hashes(text, ends - [len(k) for k in entries], ends) if entries else np.zeros(0, U64)
-        order = np.argsort(hashes)
-        return hashes[order], np.array([s for s, _ in entries.values()], np.int8)[order], np.array([w for _, w in entries.values()], float)[order]
-
-    def look_up(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        symbol, weight = np.zeros(len(starts), np.int8), np.zeros(len(starts))
-
-        def fill(table, at, stops):
-            keys, symbols, weights = table
-            if not len(keys) or not len(at):
-                return
-            h = hashes(starts[at], stops)
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            ok = (keys[place] == h) & ((symbol[at] == PLAIN) | (symbols[place] == INSULT)) & (weights[place] > weight[at])
-            symbol[at[ok]], weight[at[ok]] = symbols[place[ok]], weights[place[ok]]
-
-        hashes = _hasher(text)
-        fill(self.word, np.arange(len(starts)), ends)
-        for n, table in self.begin.items():
-            at = np.flatnonzero(ends - starts >= n)
-            fill(table, at, starts[at] + n)
+        self.word = {w.encode(): (symbol, 1.0) for symbol, text in WORDS.items() for w in text.split()} | {k.encode(): (INSULT, w) for k, w in words.items()}
+        self.begin = {k.encode(): w for k, w in beginnings.items()}
+        self.heads = {k[: BEGINNINGS[0]] for k in self.begin}
+
+    def of(self, word: bytes) -> tuple[int, float]:
+        symbol, weight = self.word.get(word, (PLAIN, 0.0))
+        if word[: BEGINNINGS[0]] in self.heads:
+            for n in BEGINNINGS:
+                found = self.begin.get(word[:n], 0.0) if len(word) >= n else 0.0
+                if found > weight:
+                    symbol, weight = INSULT, found
         return symbol, weight
 
-
-def _hasher(text: np.ndarray):
-    """span_hashes over one text, its running sums made once."""
-    from tidelane.llm.textcore import _BASE, _INVERSE, mix, powers
-
-    total = np.zeros(len(text) + 1, U64)
-    np.cumsum((text.astype(U64) + U64(1)) * powers(_BASE, len(text)), out=total[1:])
-    inverse = powers(_INVERSE, len(text) + 1)
-    return lambda a, b: mix((total[b] - total[a]) * inverse[a] + (b - a).astype(U64) * U64(0xD1B54A32D192ED03))
+    def look_up(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes, words = word_codes(text, starts, ends)
+        found = list(map(self.of, words))
+        return np.array([s for s, _ in found], np.int8)[codes], np.array([w for _, w in found], float)[codes]
 
 
-FEATURES = [*(f"log_{p}" for p in PATTERNS), *(f"rate_{p}" for p in PATTERNS[:2]), "any", "strongest", "strong_sum", "strong_rate"]
-#: Insults above this weight count as strong.
+#: Tiers of matches: all; those asserted (bare or aimed); those aimed. What is told of each tier: its weightiest match, sums, and sums in 100 words.
+TIERS = [(BARE, AIMED, NEGATED, REPORTED), (BARE, AIMED), (AIMED,)]
+TOLD = ["most", "sum", "strong", "rate", "strong_rate"]
+FEATURES = [f"{told}_{tier}" for tier in ("any", "asserted", "aimed") for told in TOLD]
+#: Matches above this weight count as strong.
 STRONG = 2.5
 
 
@@ -139,37 +129,52 @@ def lower(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(text: np.ndarray, bounds: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """One row of FEATURES for each document of a slice."""
+def matches(text: np.ndarray, bounds: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, pattern and weight of each match of a slice, and the documents' word counts."""
     lowered = lower(text)
     starts, ends, offsets = word_spans(lowered, bounds, NON_ALNUM)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.diff(offsets)
     symbol, weight = lexicon.look_up(lowered, starts, ends)
-    clause = np.cumsum(_STOPS[lowered])[starts] if len(starts) else np.zeros(0, np.int64)
-    n = len(bounds) - 1
-    sums = np.zeros((n, len(PATTERNS)))
     event = np.flatnonzero(symbol)
     owner = np.searchsorted(offsets, event, "right") - 1
-    hot = np.zeros(n, bool)
-    hot[owner[np.isin(symbol[event], (INSULT, THREAT))]] = True
-    keep = hot[owner]
-    event, owner = event[keep], owner[keep]
-    if len(event):
-        key = owner * (int(clause[-1]) + 1) + clause[event]
-        new = np.ones(len(event), bool)
-        new[1:] = key[1:] != key[:-1]
-        gap = np.diff(event, prepend=event[0] - 7) - 1
-        gap[new] = 6
-        cuts = np.append(np.flatnonzero(new), len(event)).tolist()
-        symbols, gaps, weights = symbol[event].tolist(), gap.tolist(), weight[event].tolist()
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            sums[owner[a]] += match(symbols[a:b], gaps[a:b], weights[a:b])
-    words = np.maximum(np.diff(offsets), 1)[:, None]
-    strongest, strong = np.zeros((n, 1)), np.zeros((n, 1))
-    insult = symbol[event] == INSULT
-    np.maximum.at(strongest[:, 0], owner[insult], weight[event[insult]])
-    np.add.at(strong[:, 0], owner[insult], np.maximum(weight[event[insult]] - STRONG, 0))
-    any_hit = (sums[:, [0, 1, 4, 5]].sum(1, keepdims=True) > 0).astype(float)
-    return np.hstack([np.log1p(sums), np.minimum(100 * sums[:, :2] / words, 50) / 10, any_hit, strongest, np.log1p(strong), np.minimum(100 * strong / words, 50) / 10])
+    clause = np.cumsum(_STOPS[lowered])[starts[event]] if len(event) else np.zeros(0, np.int64)
+    new = np.ones(len(event), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (clause[1:] != clause[:-1])
+    number = np.cumsum(new) - 1
+    hit = (symbol[event] == INSULT) | (symbol[event] == THREAT)
+    # only clauses with an insult or a threat go through the automaton
+    live = np.zeros(int(new.sum()), bool)
+    live[number[hit]] = True
+    keep = live[number]
+    event, owner, new, hit = event[keep], owner[keep], new[keep], hit[keep]
+    gap = np.diff(event, prepend=0) - 1
+    gap[new] = 0
+    cuts = np.append(np.flatnonzero(new), len(event)).tolist()
+    symbols, gaps = symbol[event].tolist(), gap.tolist()
+    pattern = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in match(symbols[a:b], gaps[a:b])]
+    return owner[hit], np.array(pattern, np.int64), weight[event[hit]], np.diff(offsets)
+
+
+def features(text: np.ndarray, bounds: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    """One row of FEATURES for each document of a slice. All come from matched clauses; later tiers stand in the earlier ones with a share, so that
+    with weights of 0 or more a negated or reported match never counts as much as a bare one, nor that as much as an aimed one."""
+    owner, pattern, weight, n_words = matches(text, bounds, lexicon)
+    n, scale = len(bounds) - 1, 100 / np.maximum(n_words, 1)
+    told = []
+    for tier in TIERS:
+        mine = np.isin(pattern, tier)
+        who, w = owner[mine], weight[mine]
+        most = np.zeros(n)
+        np.maximum.at(most, who, w)
+        total, strong = np.bincount(who, w, n), np.bincount(who, np.maximum(w - STRONG, 0), n)
+        told.append(np.stack([most, np.log1p(total), np.log1p(strong), np.minimum(total * scale, 50) / 10, np.minimum(strong * scale, 50) / 10], 1))
+    every, asserted, aimed = told
+    return np.hstack([every + SHARE * (asserted + aimed), asserted + SHARE * aimed, aimed])
+
+
+#: Share of a tier's value that the tiers that hold it take on.
+SHARE = 0.25
 
 
 def learn_lexicons(table: DataFrame) -> list[Lexicon]:
@@ -251,7 +256,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     if len(y) and y.min() < y.max():
         order = np.lexsort([*x.T, y])
         scale = x.std(0) + 1e-9
-        w, b0 = lasso_logistic(x[order] / scale, y[order], 1e-4, ridge=1e-4)
+        w, b0 = lasso_logistic(x[order] / scale, y[order], 1e-4, ridge=1e-4, positive=True)
         w = w / scale
     else:
         p = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
