@@ -82,11 +82,11 @@ def test_substrings_spans_cover_the_removed_words_and_rows_of_one_id_are_kept_ap
     assert got == [(False, 50, 0, []), (False, 50, 50, [(0, 50)]), (True, 0, 0, []), (True, 50, 50, [(0, 50)])]
 
 
-def sets_of(rows):
+def sets_of(rows, n=2):
     out = {}
     for i, text in rows:
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        out[i] = set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set()
+        out[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
     return out
 
 
@@ -263,7 +263,7 @@ def test_pipeline_stages(spark, tmp_path):
         before, docs = docs, spark.read.parquet(kept)
         if name == "near_dedup":
             rows = [(r.doc_id, r.text) for r in before.collect()]
-            want = brute_components(sets_of(rows))
+            want = brute_components(sets_of(rows, 5))
             assert {r.doc_id for r in docs.collect()} == set(want.values())
         elif name in ("toxicity", "quality"):
             assert 0.5 * before.count() < docs.count() < before.count()

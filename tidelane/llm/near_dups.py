@@ -11,7 +11,8 @@ on to the bucket's global star; a bucket gives fewer edges than it has members.
 confirmed on whole sets. A star can miss a link between two members that are both unlike its
 centre. So in buckets that still hold several components, members of different ones whose bins agree
 often enough are suspects; suspects of all buckets form families, and a family's members meet
-once with their whole sets, in tiles of bounded size. Nothing emitted grows with pairs. Joins are
+once with their whole sets, in tiles of bounded size. No pairs are emitted, but a family of n members that stay apart is copied n / ``TILE`` times
+and compared pair by pair: rows dealt grow with n * n / ``TILE``. Rows are told apart by a number of their own, never by doc_id. Joins are
 hinted as sort-merge, so that plans are the same at every size: no side is broadcast while it is small
 and shuffled, with whole texts, later.
 """
@@ -31,7 +32,8 @@ from tidelane.llm.textcore import LOWER, SPACES, U64, as_int64, buffers, chunks,
 BINS, BANDS, ROWS = 128, 32, 4
 #: Bins that agree at least, of 128, for a pair to go on to whole sets: at similarity 0.8 about 102 are expected and fewer than 79 have probability below 1e-6.
 AGREE = 79
-TILE = 2048
+#: Members of a family that one task holds of each side.
+TILE = 8192
 _SOURCES = np.stack([(mix(np.arange(BINS, dtype=U64) * U64(1_000_003) + U64(k + 1)) % U64(BINS)).astype(np.int64) for k in range(64)])
 
 
@@ -85,7 +87,7 @@ def class_key(s: np.ndarray) -> int:
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _signatures(shingle: int):
+def _signatures(shingle: int, carried: list[str]):
     def run(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
@@ -103,7 +105,8 @@ def _signatures(shingle: int):
                     own[i] = class_key(s)
                     kb[i], ks[i] = keys[j].tobytes(), small[j].tobytes()
                 key, bands, sketch = key + own, bands + kb, sketch + ks
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "key", "bands", "sketch"])
+            made = [pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made], names=[*carried, "n_shingles", "key", "bands", "sketch"])
 
     return run
 
@@ -246,34 +249,45 @@ def _sets(shingle: int):
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
             sets = [s for a, b in chunks(offsets) for s in document_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)]
-            # rows that share a doc_id can have other texts, whose sets have other keys
-            ours = [i for i, (s, k) in enumerate(zip(sets, batch.column("key").to_pylist(), strict=True)) if len(s) and class_key(s) == k]
-            sets = [sets[i] for i in ours]
             where = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(ours, pa.int64())), pa.ListArray.from_arrays(pa.array(where), pa.array(as_int64(np.concatenate(sets)) if sets else [], pa.int64()))], names=["key", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(where), pa.array(as_int64(np.concatenate(sets)) if sets else [], pa.int64()))], names=["key", "items"])
 
     return run
 
 
+_LAST = (1 << 63) - 1
+
+
 def near_duplicates(docs: DataFrame, numerator: int = 80, shingle: int = 2) -> DataFrame:
     """Connected components of documents with 100 * intersection >= ``numerator`` * union of their sets of ``shingle`` words in a row (ASCII lower case).
 
     Takes doc_id and text, ignores other columns. Returns doc_id, n_shingles, component_id (smallest
     doc_id reachable) and kept (doc_id = component_id), one row for each input row. Texts that are
     null or without words have no shingles and are linked with nothing; fewer than ``shingle`` words are one shingle. Rows that repeat a doc_id are
-    each returned. Null doc_ids take part; a component of only such has a null id and kept null.
+    documents of their own, each returned. Null doc_ids take part; a component of only such has a null id and kept null.
     """
+    out = grouped(docs, numerator, shingle)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame, numerator: int = 80, shingle: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As ``near_duplicates``, with the ``keep`` columns of each row and first, which holds for one row of each component: the one of the
+    smallest doc_id (any one of several such, or of a component without doc_ids). Rows without shingles are all first."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = materialise(docs.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, key long, bands binary, sketch binary"))
+    carried = {f"c{i}": c for i, c in enumerate(keep)}
+    named = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(n) for n, c in carried.items()))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
+    table = materialise(named.mapInArrow(_signatures(shingle, named.columns), f"{kinds}, n_shingles long, key long, bands binary, sketch binary"))
     filled = table.where("key is not null")
     parts = shuffle_partitions(spark)
-    classes = materialise(filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min(F.struct("bands", "sketch")).alias("s")).select("key", "rep", "n", "s.bands", "s.sketch"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "rid", "bands", "sketch"))
+    classes = materialise(filled.groupBy("key").agg(first.alias("s"), F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")).select("key", "rep", "n", "s.rid", "s.rank", "s.bands", "s.sketch"))
     stars = classes.select("key", "bands").mapInArrow(_local_stars(8 * parts), "part int, x binary, y binary").repartition(parts, F.col("part"), F.when(F.col("part") < 0, F.hash("x")))
     edges = stars.mapInArrow(_global_stars, "a long, b long").distinct()
     sketches = classes.select("key", "sketch")
     edges = materialise(edges)
-    sets = _class_sets(docs, classes, edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct(), shingle)
+    met = materialise(classes.select("key", "rid").join(edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct().hint("merge"), "key", "left_semi"))
+    sets = materialise(filled.select("rid", "text").join(met.hint("merge"), "rid").select("key", "text").mapInArrow(_sets(shingle), "key long, items array<long>"))
     pairs = edges.hint("merge").join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb").hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
     links = confirm(sets, pairs, numerator)
     found = components(links)
@@ -284,12 +298,12 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, shingle: int = 2) -> D
         links = links.union(rest)
         found = components(links)
     roots = found.withColumnRenamed("node", "key")
-    named = classes.select("key", "rep").join(roots, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    named = materialise(named)
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = materialise(named.join(least, "root").select("key", "component_id"))
-    out = table.select("doc_id", "n_shingles", "key").join(ids, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    rooted = materialise(classes.select("key", "rep", "rank", "rid").join(roots.hint("merge"), "key", "left").select("key", "rep", "rank", "rid", F.coalesce("root", "key").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.min(F.struct("rank", "rid")).alias("s")).select("root", "component_id", F.col("s.rid").alias("head"))
+    ids = materialise(rooted.select("key", "root").join(least.hint("merge"), "root").select("key", "component_id", "head"))
+    show = ["doc_id", "n_shingles", *(F.col(n).alias(c) for n, c in carried.items())]
+    joined = filled.drop("bands", "sketch").join(ids.hint("merge"), "key").select(*show, "component_id", (F.col("rid") == F.col("head")).alias("first"))
+    return joined.unionByName(table.where("key is null").select(*show, F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
 
 
 def _spread(batches):
@@ -318,7 +332,7 @@ def _across(members: DataFrame, sets: DataFrame, parts: int, numerator: int) ->
     """Links between members of different components that share a bucket.
 
     Suspects (bins agree often enough) of all buckets form families; each family's members meet
-    once, with their whole sets. What is dealt out grows with members, not with pairs.
+    once, with their whole sets. A family of up to ``TILE`` members is dealt once, a larger one once for each of its tiles.
     """
     mixed = members.select("component", "bands").mapInArrow(_spread, "bucket long, component long").groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(F.col("bucket").alias("group"))
     rows = members.select("key", "component", "n", "bands").mapInArrow(_bucket_rows, "group long, key long, component long, n long")
@@ -333,12 +347,6 @@ def _across(members: DataFrame, sets: DataFrame, parts: int, numerator: int) ->
     return materialise(met.mapInArrow(_confirmed(numerator), "a long, b long"))
 
 
-def _class_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
-    """(key, items): whole sets of the classes named."""
-    reps = materialise(classes.select("key", "rep").join(keys.hint("merge"), "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
-    return materialise(docs.join(reps.hint("merge"), docs["doc_id"].eqNullSafe(reps["doc_id"])).select("key", "text").mapInArrow(_sets(shingle), "key long, items array<long>"))
-
-
 def confirm(sets: DataFrame, pairs: DataFrame, numerator: int) -> DataFrame:
     """Those (a, b) whose whole sets are similar enough."""
     met = materialise(pairs).hint("merge").join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x").hint("merge"), "a")
