@@ -85,3 +85,64 @@ def test_grid_join_keeps_links_beside_rows_without_id(spark):
     got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in grid_join.near_duplicates(t).collect()]
     assert sorted(x for x in got if x[0]) == [(3, 3, 3, True), (5, 3, 3, False), (8, 1, 8, True), (9, 0, 9, True)]
     assert sorted(x[1] for x in got if x[0] is None) == [1, 3, 3] and all(x[2:] == (None, None) for x in got if x[0] is None)
+
+
+def test_grid_join_reaches_through_rows_without_id_and_counts_copies(spark):
+    turn = lambda t: [float(np.cos(t)), float(np.sin(t)), 0.0]
+    # 1 - null - 2: neighbours at 0.15 rad have cosine 0.989, ends at 0.3 rad have 0.955
+    rows = [(1, turn(0.0), 0), (None, turn(0.15), 0), (2, turn(0.3), 0), *((100 + i, [0.0, 0.0, 2.0], 1) for i in range(3000)), (4000, [0.0, 0.01, 2.0], 1), (7, turn(1.5), 2), (7, turn(3.0), 2)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted(map(tuple, grid_join.near_duplicates(t).where("vec_id < 100 or vec_id = 4000 or vec_id is null").collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (None, 2, None, None), (4000, 3000, 100, False), (7, 0, 7, True), (7, 0, 7, True)], key=str)
+    big = grid_join.near_duplicates(t).where("vec_id between 100 and 3099").groupBy("n_links", "component_id").count().collect()
+    assert [tuple(r) for r in big] == [(3000, 100, 3000)]
+
+
+def clustered(n=50_000, dim=32, clusters=500, noise=0.3):
+    rng = np.random.default_rng(5)
+    return rng.standard_normal((clusters, dim))[rng.integers(0, clusters, n)] + noise * rng.standard_normal((n, dim))
+
+
+@pytest.mark.parametrize("kind", ["plain", "one long vector", "lognormal lengths"])
+def test_index_visits_few_rows_of_clustered_vectors(kind):
+    m = clustered()
+    if kind == "one long vector":
+        m[7] *= 20
+    elif kind == "lognormal lengths":
+        m *= np.random.default_rng(6).lognormal(0, 0.5, len(m))[:, None]
+    n, k = len(m), 20
+    sample = m[np.random.default_rng(1).choice(n, ann.SAMPLE, replace=False)]
+    index, _ = ann.choose(sample, np.sqrt((m * m).sum(1)).max(), ann.like_rank(k, n, len(sample)))
+    at = np.arange(0, n, n // 64)[:64]
+    q, (shell, bucket) = m[at], index.buckets(m)
+    product, seen, work = index.products(m[at]), np.zeros((len(at), n), bool), 0
+    for s in np.unique(shell).tolist():
+        able, chance, last = index.chances(q, product, s, ann.SUCCESS[0])
+        mine = np.flatnonzero(shell == s)
+        for t in range(index.tables):
+            codes, where = np.unique(bucket[mine, t] % ann.CELLS**index.projections, return_inverse=True)
+            hit = index.visited(chance[:, t], np.where(able, last[:, t], np.inf), codes)[:, where]
+            seen[:, mine] |= hit
+            work += hit.sum()
+    score = q @ m.T
+    score[np.arange(len(at)), at] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :k]
+    assert np.take_along_axis(seen, best, 1).mean() >= 0.9 and work / seen.size < 0.15 and seen.mean() < 0.1
+
+
+def test_probes_are_the_buckets_visited():
+    m = clustered(3000)
+    index = ann.Index(2, 8, 1.0, np.sqrt((m * m).sum(1)).max(), m[:500], 3)
+    q, (shell, bucket) = m[:20], index.buckets(m)
+    s = int(np.bincount(shell).argmax())
+    _, chance, last = index.chances(q, index.products(q), s, 0.9)
+    codes = np.unique(bucket[shell == s, 0] % ann.CELLS**8)
+    for i in range(len(q)):
+        told = index.probe(chance[i, 0], last[i, 0], 10**7)
+        assert set(codes[index.visited(chance[i : i + 1, 0], last[i : i + 1, 0], codes)[0]]) == set(codes) & set(told.tolist())
+
+
+def test_search_ties_and_repeated_ids(spark):
+    rows = [(i, [1.0, float(i % 3)], 0) for i in range(30)] + [(5, [9.0, 9.0], 0), (None, [50.0, 50.0], 0)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") == 0, k=4).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 5, 9.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)]

@@ -3,9 +3,10 @@
 Unit vectors are projected on leading principal directions (which shortens no distance below
 the truth) and sorted by their grid cells of side epsilon. The sequence is cut into blocks, each with
 the bounds of its projections; blocks of one label meet only where first cells are neighbours and
-bounds are within epsilon. Two blocks are joined by halving the longer interval again and again, skipping pairs
+bounds are within epsilon. Equal vectors of a label are one row of the sequence, with their number, so groups of copies don't grow the join. Two blocks are joined by halving the longer interval again and again, skipping pairs
 of intervals whose bounds are provably further apart, down to short ones that are compared
-exactly. A pair of blocks gives a link count for each row and a spanning forest, never all pairs.
+exactly. A pair of blocks gives a link count for each row and a spanning forest, never all pairs. Rows are told apart by a number of
+their own, never by vec_id. Directions are fitted on ``SAMPLE`` vectors at most: they steer only what is skipped, and nothing is skipped that could be linked.
 """
 
 from __future__ import annotations
@@ -16,21 +17,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm.shared import components, materialise, shuffle_partitions
-from tidelane.llm.vectors import common_dim, moments, usable
+from tidelane.llm.vectors import common_dim, sampled, usable
 
-DIRECTIONS, BLOCK, LEAF = 8, 256, 32
+DIRECTIONS, BLOCK, LEAF, SAMPLE = 8, 512, 32, 8000
 
 
-def directions(count: int, total: np.ndarray, outer: np.ndarray) -> np.ndarray:
-    """Leading principal directions of unit vectors, as columns."""
-    dim = len(total)
-    if not count:
-        return np.eye(dim)[:, :DIRECTIONS]
-    mean = total / count
-    _, v = np.linalg.eigh(outer / count - np.outer(mean, mean))
+def directions(m: np.ndarray) -> np.ndarray:
+    """Leading principal directions of the rows scaled to norm 1, as columns."""
+    unit = m / np.sqrt((m * m).sum(1, keepdims=True))
+    _, v = np.linalg.eigh(np.cov(unit, rowvar=False).reshape(m.shape[1], m.shape[1]) if len(m) > 1 else np.eye(m.shape[1]))
     return v[:, ::-1][:, :DIRECTIONS]
 
 
+def _packed(m: np.ndarray) -> bytes:
+    """Rows in single precision where that loses nothing (told apart by length), else in double."""
+    small = m.astype(np.float32)
+    return small.tobytes() if (small == m).all() else m.tobytes()
+
+
+def _unpacked(data: bytes, rows: int, dim: int) -> np.ndarray:
+    kind = np.float32 if len(data) == 4 * rows * dim else np.float64
+    return np.frombuffer(data, kind).reshape(-1, dim).astype(np.float64)
+
+
 def _blocks(basis: np.ndarray):
     """Cut sorted rows into blocks of one label and length."""
 
@@ -53,11 +62,11 @@ def _blocks(basis: np.ndarray):
                         ([[*y.min(0).tolist(), *pad]], pa.list_(pa.float64())),
                         ([[*y.max(0).tolist(), *pad]], pa.list_(pa.float64())),
                         ([rows.column("rid").to_numpy().tobytes()], pa.binary()),
-                        ([rows.column("vec_id").to_numpy().tobytes()], pa.binary()),
-                        ([m.tobytes()], pa.binary()),
+                        ([rows.column("copies").to_numpy().tobytes()], pa.binary()),
+                        ([_packed(m)], pa.binary()),
                     )
                 ],
-                names=["block", "label", "dim", "low", "high", "rids", "ids", "vecs"],
+                names=["block", "label", "dim", "low", "high", "rids", "copies", "vecs"],
             )
 
         n = 0
@@ -121,10 +130,9 @@ def _joined(basis: np.ndarray, threshold: float):
 
     def run(batches):
         for batch in batches:
-            for dim, same, ra, ia, va, rb, ib, vb in zip(*(batch.column(c).to_pylist() for c in ("dim", "same", "ra", "ia", "va", "rb", "ib", "vb")), strict=True):
-                a, b = (np.frombuffer(v).reshape(-1, dim) for v in (va, vb))
-                rids = [np.frombuffer(r, np.int64) for r in (ra, rb)]
-                ids = [np.frombuffer(r, np.int64) for r in (ia, ib)]
+            for dim, same, ra, ca, va, rb, cb, vb in zip(*(batch.column(c).to_pylist() for c in ("dim", "same", "ra", "ca", "va", "rb", "cb", "vb")), strict=True):
+                rids, copies = [np.frombuffer(r, np.int64) for r in (ra, rb)], [np.frombuffer(r, np.int64) for r in (ca, cb)]
+                a, b = _unpacked(va, len(rids[0]), dim), _unpacked(vb, len(rids[1]), dim)
                 link = np.zeros((len(a), len(b)), bool)
                 for a0, a1, b0, b1 in _intervals(_project(a, basis), _project(b, basis), eps, same):
                     link[a0:a1, b0:b1] = cosines(a[a0:a1], b[b0:b1], threshold)
@@ -134,12 +142,11 @@ def _joined(basis: np.ndarray, threshold: float):
                 if not link.any():
                     continue
                 node, root = _forest(link, same)
-                rid, count = np.concatenate(rids[: 2 - same]), link.sum(1)
+                rid, count = np.concatenate(rids[: 2 - same]), link @ copies[1]
                 if not same:
-                    count = np.concatenate([count, link.sum(0)])
-                name = np.concatenate(ids[: 2 - same])
+                    count = np.concatenate([count, copies[0] @ link])
                 hit = count > 0
-                yield pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array(count[hit].astype(np.int64)), pa.array(name[node[hit]]), pa.array(name[root[hit]])], names=["rid", "n", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array(count[hit].astype(np.int64)), pa.array(rid[node[hit]]), pa.array(rid[root[hit]])], names=["rid", "n", "a", "b"])
 
     return run
 
@@ -171,17 +178,18 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98) -> DataFrame:
     Takes vec_id, embedding and label. Returns vec_id, n_links (other rows linked), component_id
     (smallest vec_id reachable, own included) and kept (vec_id = component_id), one row for each input row. Null labels and
     vectors that are null, zero or hold null or non-finite components link with nothing, nor do vectors
-    of different lengths. Rows that repeat a vec_id are vectors of their own with one component. A row with a null vec_id
-    links others and has null component_id and kept.
+    of different lengths. Rows that repeat a vec_id are vectors of their own, each with its links and component. A row with a null vec_id
+    links others, and they reach each other by it; it has null component_id and kept itself.
     """
     spark = table.sparkSession
     eps = float(np.sqrt(max(1e-12, 2 - 2 * threshold))) + 1e-9
     own = materialise(table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding").withColumn("rid", F.monotonically_increasing_id()))
-    # rows without a vec_id are nodes of their own, numbered from the top, so that they link others but name no component
-    rows = usable(own.where(F.col("label").isNotNull()).withColumn("vec_id", F.coalesce("vec_id", F.lit((1 << 63) - 1) - F.col("rid"))), "rid", "vec_id", "label")
-    rows = materialise(rows)
+    every = materialise(usable(own.where(F.col("label").isNotNull()), "rid", "vec_id", "label").withColumn("mark", F.unhex(F.sha2("vec", 256))))
+    same = ["label", "dim", "mark"]
+    classes = materialise(every.groupBy(*same).agg(F.min("rid").alias("class"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
+    rows = materialise(every.join(classes.select(F.col("class").alias("rid"), "copies"), "rid").select("rid", "copies", "label", "dim", "vec"))
     dim = common_dim(rows)
-    basis = directions(*moments(rows, dim, unit=True)) if dim else np.eye(1)
+    basis = directions(sampled(rows, dim, SAMPLE)) if dim else np.eye(1)
 
     def cells(batches):
         for batch in batches:
@@ -195,9 +203,9 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(grid[:, i].copy()) for i in range(DIRECTIONS))], names=[*batch.schema.names, *(f"c{i}" for i in range(DIRECTIONS))])
 
     order = ["label", "dim", *(f"c{i}" for i in range(DIRECTIONS)), "rid"]
-    placed = materialise(rows.mapInArrow(cells, "rid long, vec_id long, label long, dim int, vec binary, " + ", ".join(f"c{i} int" for i in range(DIRECTIONS))))
+    placed = materialise(rows.mapInArrow(cells, "rid long, copies long, label long, dim int, vec binary, " + ", ".join(f"c{i} int" for i in range(DIRECTIONS))))
     ordered = placed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    blocks = materialise(ordered.select("rid", "vec_id", "label", "dim", "vec").mapInArrow(_blocks(basis), "block long, label long, dim int, low array<double>, high array<double>, rids binary, ids binary, vecs binary"))
+    blocks = materialise(ordered.select("rid", "copies", "label", "dim", "vec").mapInArrow(_blocks(basis), "block long, label long, dim int, low array<double>, high array<double>, rids binary, copies binary, vecs binary"))
     cell = lambda side, i: F.floor(F.col(side)[i] / eps)
     bounds = blocks.select("block", "label", "dim", "low", "high")
     first = bounds.withColumn("x", F.explode(F.sequence(cell("low", 0), cell("high", 0))))
@@ -207,11 +215,16 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98) -> DataFrame:
     second = second.toDF("other", "label", "dim", "low2", "high2", "x", "y")
     gap = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(DIRECTIONS - 1)), lambda i: F.greatest(F.lit(0.0), F.col("low")[i] - F.col("high2")[i], F.col("low2")[i] - F.col("high")[i])), F.lit(0.0), lambda s, g: s + g * g)
     pairs = materialise(first.join(second, ["label", "dim", "x", "y"]).where((F.col("block") <= F.col("other")) & (gap <= eps * eps)).select("block", "other").distinct())
-    right = blocks.select(F.col("block").alias("other"), F.col("rids").alias("rb"), F.col("ids").alias("ib"), F.col("vecs").alias("vb"))
-    left = blocks.select("block", "dim", F.col("rids").alias("ra"), F.col("ids").alias("ia"), F.col("vecs").alias("va"))
+    right = blocks.select(F.col("block").alias("other"), F.col("rids").alias("rb"), F.col("copies").alias("cb"), F.col("vecs").alias("vb"))
+    left = blocks.select("block", "dim", F.col("rids").alias("ra"), F.col("copies").alias("ca"), F.col("vecs").alias("va"))
     met = pairs.join(right, "other").join(left, "block").withColumn("same", F.col("block") == F.col("other"))
-    links = materialise(met.select("dim", "same", "ra", "ia", "va", "rb", "ib", "vb").mapInArrow(_joined(basis, threshold), "rid long, n long, a long, b long"))
+    links = materialise(met.select("dim", "same", "ra", "ca", "va", "rb", "cb", "vb").mapInArrow(_joined(basis, threshold), "rid long, n long, a long, b long"))
     counts = links.groupBy("rid").agg(F.sum("n").alias("n"))
-    roots = components(links).select(F.col("node").alias("vec_id"), "root")
-    out = own.select("rid", "vec_id").join(counts, "rid", "left").join(roots, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    rooted = classes.join(counts.withColumnRenamed("rid", "class"), "class", "left").join(components(links).withColumnRenamed("node", "class"), "class", "left")
+    rooted = materialise(rooted.select(*same, "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select(*same, "n_links", "component_id")
+    found = every.select("rid", *same).join(named, same).select("rid", "n_links", "component_id")
+    out = own.select("rid", "vec_id").join(found, "rid", "left")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component).withColumn("kept", F.col("vec_id") == F.col("component_id"))

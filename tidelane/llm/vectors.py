@@ -41,24 +41,12 @@ def usable(table: DataFrame, *keep: str) -> DataFrame:
     return table.select(*keep, "embedding").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "dim int", "vec binary"]))
 
 
-def moments(table: DataFrame, dim: int, unit: bool = False) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, sum and sum of outer products of the vectors of one length; a partial sum of dim * dim numbers comes from each task."""
-
-    def run(batches):
-        n, s, g = 0, np.zeros(dim), np.zeros((dim, dim))
-        for batch in batches:
-            m = np.frombuffer(b"".join(batch.column("vec").to_pylist())).reshape(-1, dim)
-            if unit:
-                m = m / np.sqrt((m * m).sum(1, keepdims=True))
-            n, s, g = n + len(m), s + m.sum(0), g + m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate([s, g.ravel()]).tolist()], pa.list_(pa.float64()))], names=["n", "sums"])
-
-    parts = table.where(F.col("dim") == dim).select("vec").mapInArrow(run, "n long, sums array<double>")
-    totals = parts.select("n", F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("i").collect()
-    if not totals:
-        return 0, np.zeros(dim), np.zeros((dim, dim))
-    x = np.array([r.x for r in totals])
-    return int(totals[0].n), x[:dim], x[dim:].reshape(dim, dim)
+def sampled(table: DataFrame, dim: int, rows: int) -> np.ndarray:
+    """About ``rows`` of the vectors of one length (2 * ``rows`` at most, one at least), chosen by hash of rid."""
+    those = table.where(F.col("dim") == dim)
+    cut = int(min(1.0, rows / max(1, those.count())) * (1 << 30)) + 1
+    picked = those.where(F.pmod(F.xxhash64("rid", F.lit(13)), F.lit(1 << 30)) < cut).select("vec").limit(2 * rows).collect() or those.select("vec").limit(1).collect()
+    return np.frombuffer(b"".join(bytes(r.vec) for r in picked)).reshape(-1, dim)
 
 
 def common_dim(table: DataFrame) -> int:
