@@ -204,7 +204,7 @@ def test_license_phrases_and_fuzzy_spans(spark):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (7, 1, 2, 2, "mit")
     assert (got[2].n_base, got[2].base_labels, got[2].labels) == (0, "", "mit") and 0 < got[2].score < 1 and got[2].first_word is None
-    assert [tuple(s)[:2] for s in got[2].spans] == [(0, 4)]
+    assert [tuple(s)[:3] for s in got[2].spans] == [(0, 4, 2), (1, 4, 2)]
     assert (got[5].n_base, got[5].first_word, got[5].last_word) == (2, 0, 4)
     assert (got[6].n_base, got[6].base_labels) == (2, "apache-2,cc-by-nc")
     assert all((got[i].n_base, got[i].labels, got[i].score) == (0, "", 0.0) for i in (3, 4, 7))

@@ -3,11 +3,13 @@
 Exact phrases are found as runs of words. For the notices of ``NOTICES`` each pattern is split into one piece
 more than the errors it may have; by the pigeonhole principle one piece stands unchanged in any match,
 so texts that hold no piece are skipped. Around each place of a piece the regex library's bounded-error
-matching verifies the edits and gives the span.
+matching verifies the edits and gives the span. Every piece's place has a window of its own, so no match hides another; of
+matches of one notice that share words, the one with the fewest edits (then the first, then the shortest) is told.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
@@ -21,6 +23,9 @@ from tidelane.llm.textcore import LOWER, NON_ALNUM, buffers, chunks, word_spans
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Short notices (words) of the fuzzy scan, their labels, and the edits a match may have.
 NOTICES = {
+    "under the mit license": ("mit", 2),
+    "apache license version 2": ("apache-2", 3),
+    "cc by nc": ("cc-by-nc", 1),
     "released under the mit license": ("mit", 3),
     "licensed under the apache license version 2 0": ("apache-2", 4),
     "licensed under cc by nc 4 0": ("cc-by-nc", 2),
@@ -57,45 +62,71 @@ def _patterns():
     return machine, compiled
 
 
-def fuzzy(words: str) -> list[tuple[int, int, int, str, int]]:
-    """Matches of NOTICES in space-joined lower-case words: (first word, last word, edits, label, notice), one for each cluster of seeds."""
+def fuzzy(words: str, begins: list[int] | None = None) -> list[tuple[int, int, int, str, int]]:
+    """Matches of NOTICES in space-joined lower-case words: (first word, last word, edits, label, notice)."""
     machine, compiled = _patterns()
     names = list(NOTICES)
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, set[tuple[int, int]]] = {}
     for end, (piece, where) in machine.iter(words):
         begin = end + 1 - len(piece)
         for k, at in where:
             errors = NOTICES[names[k]][1]
-            lo, hi = max(0, begin - at - errors), min(len(words), begin - at + len(names[k]) + errors)
-            mine = windows.setdefault(k, [])
-            if mine and lo <= mine[-1][1] and hi - mine[-1][0] <= 4 * len(names[k]):
-                mine[-1][1] = max(mine[-1][1], hi)
-            else:
-                mine.append([lo, hi])
+            windows.setdefault(k, set()).add((max(0, begin - at - errors), min(len(words), begin - at + len(names[k]) + errors)))
+    if not windows:
+        return []
+    begins = word_begins(words) if begins is None else begins
     out = []
     for k, spans in windows.items():
-        last = -1
+        met = {}
         for lo, hi in spans:
-            for m in compiled[k].finditer(words, lo, hi, concurrent=False):
-                if m.start() > last:
-                    first = words.count(" ", 0, m.start() + (words[m.start()] == " "))
-                    out.append((first, first + m.group().strip().count(" "), sum(m.fuzzy_counts), NOTICES[names[k]][0], k))
-                    last = m.end() - 1
+            m = compiled[k].search(words, lo, hi)
+            if m:
+                a, b = m.span()
+                a, b = a + (words[a] == " "), b - (words[b - 1] == " ")
+                edits = sum(m.fuzzy_counts)
+                if b > a and edits < met.get((a, b), (99,))[0]:
+                    met[a, b] = (edits, bisect_right(begins, a) - 1, bisect_right(begins, b - 1) - 1)
+        found = sorted((first, edits, last) for edits, first, last in met.values())
+        out += [(first, last, edits, NOTICES[names[k]][0], k) for first, edits, last in apart(found)]
     return sorted(out)
 
 
+def apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of matches (first word, edits, last word) that share words, in runs, the best; then the best of those it leaves free."""
+    out, run, end = [], [], -1
+    for m in [*found, None]:
+        if m is None or m[0] > end:
+            for best in sorted(run, key=lambda x: (x[1], x[0], x[2])):
+                if all(best[2] < x[0] or best[0] > x[2] for x in out[-len(run) :]):
+                    out.append(best)
+            run, end = [], -1
+        if m is not None:
+            run.append(m)
+            end = max(end, m[2])
+    return out
+
+
+def word_begins(words: str) -> list[int]:
+    """Places of the first letters of space-joined words."""
+    out, at = [0], words.find(" ")
+    while at >= 0:
+        out.append(at + 1)
+        at = words.find(" ", at + 1)
+    return out
+
 
 def scan_text(words: str) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, str, int]]]:
-    """Exact places (first word, label) and fuzzy matches of one text."""
-    base = []
+    """Exact places (first word, label) and fuzzy matches of one text, in time that grows with its length."""
+    base, begins = [], None
     padded = f" {words} "
     for phrase, label in PHRASES.items():
         needle = f" {phrase} "
         at = padded.find(needle)
         while at >= 0:
-            base.append((padded.count(" ", 0, at), label))
+            begins = word_begins(words) if begins is None else begins
+            base.append((bisect_right(begins, at) - 1, label))
             at = padded.find(needle, at + 1)
-    return sorted(base), fuzzy(words)
+    return sorted(base), fuzzy(words, begins)
 
 
 def _normal(text: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -123,7 +154,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_words, n_base (exact places), first_word and last_word (smallest and largest
     start of one; else null), base_labels, labels (with those of fuzzy matches; sorted, comma-joined), score
     (1 with an exact place, else 1 - edits / length of the best fuzzy match, else 0) and spans of
-    fuzzy matches in words. One row for each input row.
+    fuzzy matches in words. Notices may stand in one another ("under the mit license" in "released under the mit license"); each is told. One row for each input row; repeated rows are each scanned.
     """
     names = list(NOTICES)
 

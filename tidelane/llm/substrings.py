@@ -1,22 +1,20 @@
 """Exact substring deduplication with prefix-partitioned suffix trees.
 
-Every word position starts a suffix; only its first ``window`` words matter, so trees are cut
-at that depth and a deep internal node is a node at depth ``window`` with two or more leaves.
-Labels on tree paths are 64-bit hashes of word runs, never whole texts.
-
-1. *Short prefixes.* Of each window the suffix at its smallest ``prefix``-word hash is chosen
-   (equal windows choose equal prefixes at equal places), about one position in eight. Those
-   short prefixes are grouped; one that occurs once in all documents is a leaf at depth
-   ``prefix``: no window through it can repeat, and its suffixes are finished.
-2. *Longer prefixes.* The remaining suffixes are dealt out by a prefix of variable length: the
-   shortest run of words, from the suffix's start, that is not frequent in a bounded sample of
-   suffixes. At most ``FREQUENT`` prefixes of each length can be frequent, whatever the corpus,
-   so the table has a bounded size, and every group fits one task.
-3. *Subtrees.* A task sorts its groups by path; each run of suffixes that agree to depth
-   ``window`` is a deep internal node, whose leaves but the first are repeats. Neighbouring
+A window of ``window`` words is found again by way of one of its suffixes: the one that starts at its smallest
+``prefix``-word hash, its *anchor*. Equal windows have equal anchors at equal places, so a sparse suffix tree of the anchors'
+suffixes (about one word in seven) holds all repeats. Words are compared by strong 64-bit hashes, never by hashes of runs.
+
+1. *Short prefixes.* Anchors are grouped by their first ``prefix`` words; one that occurs once in all documents is a leaf
+   at depth ``prefix``: no window through it can repeat, and it is finished.
+2. *Longer prefixes.* The remaining suffixes are dealt out, with the words around them, by a prefix of variable length: the
+   shortest run of words that is not frequent in a bounded sample, up to ``prefix`` words; where all these are frequent, the
+   longest, the whole window. A group holds one row of a bucket for each distinct window at most, so a task's share fits its memory.
+3. *Subtrees.* A task sorts its suffixes and takes the common prefix lengths of neighbours (``Tree``): the nodes of the group's suffix tree. Suffixes
+   below a node at depth d agree in d words; the words to the left of an anchor are ordered in the same way. A window with its anchor at
+   place o repeats where its suffix shares a node at depth ``window`` - o and its left context a node at depth o. Neighbouring
    repeats of a document join into maximal removed spans.
 
-Each bucket of documents keeps only its first leaf of a node before dealing, so that a passage
+Each bucket of documents keeps only its first of equal windows before dealing, so that a passage
 shared by a third of all rows costs one row a bucket.
 """
 
@@ -35,14 +33,15 @@ from tidelane.llm.textcore import SPACES, U64, buffers, chunks, cut, gram_hashes
 
 #: Of each length, so many prefixes at most are taken to be frequent; and so many suffixes are sampled.
 FREQUENT, SAMPLE = 1024, 100_000
-BUCKET_BYTES = 4 << 20
+#: Text of a bucket of documents, and buckets at most (from 8 TB on they grow): a prefix has one row, of some 200 bytes, in each at most.
+BUCKET_BYTES, BUCKETS = 4 << 20, 1 << 21
 _MANY = np.uint32(1 << 31)
 
 
 @dataclass(frozen=True)
 class Shape:
     window: int = 20
-    prefix: int = 6
+    prefix: int = 8
 
 
 class Suffixes:
@@ -63,6 +62,7 @@ class Suffixes:
         first, self.run = runs(chosen)
         self.fps = grams[chosen[first]]
         self.first = first
+        self.anchor = chosen
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, at, "right") - 1
@@ -94,7 +94,7 @@ def _joined(column, kind=U64) -> np.ndarray:
 
 _SHORT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("fps", pa.binary()), ("buckets", pa.binary())])
 _REPLY = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("fps", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
-_LONG = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("groups", pa.binary()), ("paths", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
+_LONG = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("words", pa.binary()), ("shapes", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
 
 
 def _short_prefixes(parts: int, shape: Shape):
@@ -165,53 +165,58 @@ def _bucket(docs: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return docs, ids_or_last(docs.column("doc_id"))
 
 
-def _candidates(docs: pa.Table, ids: np.ndarray, known: np.ndarray, shape: Shape):
-    """Of a bucket: windows whose chosen prefix repeats, as (document number, place, path, prefix known to others), in order, and which are the bucket's first."""
-    pieces, prefixes = [], []
-    for a, _, text, bounds in _slices(docs, 4 << 20):
-        s = Suffixes(text, bounds, shape)
-        pieces.append((a, s))
-        prefixes.append(s.fps)
-    values, counts = np.unique(np.concatenate(prefixes) if prefixes else np.zeros(0, U64), return_counts=True)
-    local = values[counts > 1]
-    found = []
-    for a, s in pieces:
-        if not len(s.at):
-            continue
-        far = _member(s.fps, known)
-        take = (far | _member(s.fps, local))[s.run]
-        at = s.at[take]
-        doc = s.doc_of(at)
-        found.append((doc + a, at - s.offsets[doc], s.path[at], far[s.run][take]))
-    doc, at, path, far = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool))
-    order = np.argsort(path, kind="stable")  # rows are in (doc, place) order
-    first = np.zeros(len(path), bool)
-    if len(path):
-        first[order[runs(path[order])[0]]] = True
-    return pieces, doc, at, path, far, first
-
-
-def _route(pieces, doc: np.ndarray, at: np.ndarray, frequent: list[np.ndarray], window: int) -> np.ndarray:
-    """Hash of each suffix's shortest prefix that isn't frequent (its first ``window`` words, if all are)."""
-    base = 0
-    out = []
-    for a, s in pieces:
-        n = len(s.offsets) - 1
-        mine = (doc >= a) & (doc < a + n)
-        word = s.offsets[doc[mine] - a] + at[mine]
-        group = np.zeros(len(word), U64)
-        todo = np.arange(len(word))
-        for k in range(1, window + 1):
-            label = gram_hashes(s.words, k)[word[todo]]
-            group[todo] = label
-            if k > len(frequent):
-                break
-            todo = todo[_member(label, frequent[k - 1])]
-            if not len(todo):
-                break
-        out.append(group)
-        base += len(word)
-    return np.concatenate(out) if out else np.zeros(0, U64)
+class Candidates:
+    """Of a bucket: the windows whose anchor's prefix repeats, in order, and which of them are the bucket's first of their kind."""
+
+    def __init__(self, docs: pa.Table, known: np.ndarray, shape: Shape):
+        self.pieces, base, total = [], [], 0
+        for a, _, text, bounds in _slices(docs, 4 << 20):
+            s = Suffixes(text, bounds, shape)
+            self.pieces.append((a, s))
+            base.append(total)
+            total += len(s.words)
+        none = np.zeros(0, U64)
+        self.words = np.concatenate([s.words for _, s in self.pieces]) if self.pieces else none
+        values, counts = np.unique(np.concatenate([s.fps for _, s in self.pieces]) if self.pieces else none, return_counts=True)
+        local = values[counts > 1]
+        found = []
+        for (a, s), start in zip(self.pieces, base, strict=True):
+            if len(s.at):
+                far = _member(s.fps, known)
+                take = (far | _member(s.fps, local))[s.run]
+                at = s.at[take]
+                doc = s.doc_of(at)
+                found.append((doc + a, at - s.offsets[doc], at + start, s.anchor[take] + start, s.path[at], far[s.run][take], s.fps[s.run][take]))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4 + [none, np.zeros(0, bool), none]
+        self.doc, self.at, self.word, self.anchor, path, self.far, self.fps = columns
+        order = np.argsort(path, kind="stable")  # rows are in (doc, place) order
+        new = np.ones(len(path), bool)
+        new[1:] = path[order[1:]] != path[order[:-1]]
+        if not self._same(order[1:][~new[1:]], order[:-1][~new[1:]], shape.window):
+            _, path = np.unique(self.words[self.word[:, None] + np.arange(shape.window)], axis=0, return_inverse=True)
+            order = np.argsort(path, kind="stable")
+            new[1:] = path[order[1:]] != path[order[:-1]]
+        self.first = np.zeros(len(path), bool)
+        self.first[order[new]] = True
+
+    def _same(self, a: np.ndarray, b: np.ndarray, window: int) -> bool:
+        """Windows that share a hash share their words."""
+        return all((self.words[self.word[a] + k] == self.words[self.word[b] + k]).all() for k in range(window))
+
+
+def _route(words: np.ndarray, start: np.ndarray, frequent: list[np.ndarray], prefix: int) -> np.ndarray:
+    """Hash of each suffix's shortest prefix that isn't frequent (its first ``prefix`` words, if all are)."""
+    group = np.zeros(len(start), U64)
+    todo = np.arange(len(start))
+    for k in range(1, prefix + 1):
+        label = gram_hashes(words, k)[start[todo]]
+        group[todo] = label
+        if k > len(frequent):
+            break
+        todo = todo[_member(label, frequent[k - 1])]
+        if not len(todo):
+            break
+    return group
 
 
 def frequent_prefixes(docs: DataFrame, shape: Shape) -> list[np.ndarray]:
@@ -219,7 +224,7 @@ def frequent_prefixes(docs: DataFrame, shape: Shape) -> list[np.ndarray]:
     spark = docs.sparkSession
     total = max(1, docs.count())
     rate = min(1.0, SAMPLE / 8 / total)
-    window = shape.window
+    window = shape.prefix
 
     def run(batches):
         for batch in batches:
@@ -252,38 +257,97 @@ def _suffixes_out(parts: int, shape: Shape, frequent: list[np.ndarray]):
     def run(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
         docs, ids = _bucket(docs)
         known = np.unique(_joined(replies.column("fps")))
-        pieces, doc, at, path, far, first = _candidates(docs, ids, known, shape)
-        take = first & far
-        doc, at, path = doc[take], at[take], path[take]
-        group = _route(pieces, doc, at, frequent, shape.window)
+        c = Candidates(docs, known, shape)
+        take = np.flatnonzero(c.first & c.far)
+        word, anchor = c.word[take], c.anchor[take]
+        alone = _member(c.fps[take], frequent[shape.prefix - 1]) if len(frequent) >= shape.prefix else np.zeros(len(take), bool)
+        new = np.ones(len(take), bool)
+        new[1:] = (word[1:] != word[:-1] + 1) | (anchor[1:] != anchor[:-1]) | alone[1:]
+        at = np.flatnonzero(new)  # of each run of windows with one anchor
+        count = np.diff(np.append(at, len(take)))
+        begin, anchor = word[at], anchor[at]
+        group = _route(c.words, anchor, frequent, shape.prefix)
+        whole = alone[at]
+        group[whole] = gram_hashes(c.words, shape.window)[begin[whole]] if whole.any() else group[whole]
         part = (mix(group) % U64(parts)).astype(np.int64)
-        bucket = key[0].as_py()
-        rows = [(p, bucket, g.tobytes(), x.tobytes(), ids[d].tobytes(), w.astype(np.uint32).tobytes()) for p, g, x, d, w in cut(group, part, path, doc, at)]
+        bucket, rows = key[0].as_py(), []
+        for p, s, n, o, d, w in cut(begin, part, count, anchor - begin, ids[c.doc[take[at]]], c.at[take[at]]):
+            size = n + shape.window - 1
+            where = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            rows.append((p, bucket, c.words[where].tobytes(), np.stack([o, n], 1).astype(np.uint8).tobytes(), d.tobytes(), w.astype(np.uint32).tobytes()))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _LONG.types, strict=True)], schema=_LONG)
 
     return run
 
 
-def _subtrees(batches):
-    """Sort this task's suffixes by group and path: a run of equal paths is a deep internal node. Its leaves but the first go back to their buckets."""
-    got = [[], [], [], [], []]
-    for batch in batches:
-        groups = batch.column("groups").to_pylist()
-        got[0] += [_u(x) for x in groups]
-        got[1] += [_u(x) for x in batch.column("paths").to_pylist()]
-        got[2] += [_u(x, np.int64) for x in batch.column("docs").to_pylist()]
-        got[3] += [_u(x, np.uint32) for x in batch.column("at").to_pylist()]
-        got[4] += [np.full(len(g) // 8, b, np.int32) for g, b in zip(groups, batch.column("bucket").to_pylist(), strict=True)]
-    if not got[0]:
-        return
-    group, path, doc, at, bucket = map(np.concatenate, got)
-    order = np.lexsort((at, doc, path, group))
-    group, path = group[order], path[order]
-    leaf = np.zeros(len(path), bool)
-    leaf[1:] = (path[1:] == path[:-1]) & (group[1:] == group[:-1])
-    again = order[leaf]
-    rows = [(b, 1, None, d.tobytes(), a.tobytes()) for b, d, a in cut(doc[again], bucket[again], at[again])]
-    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _REPLY.types, strict=True)], schema=_REPLY)
+class Tree:
+    """Sorted sequences of words (one a column of ``words``) with the common prefix lengths of neighbours."""
+
+    def __init__(self, words: np.ndarray):
+        depth, n = words.shape
+        order = np.lexsort(words[::-1]) if depth else np.arange(n)
+        self.common = np.zeros(n, np.int64)
+        same = np.ones(max(0, n - 1), bool)
+        for row in words:
+            same &= row[order[1:]] == row[order[:-1]]
+            self.common[1:] += same
+        self.place = np.empty(n, np.int64)
+        self.place[order] = np.arange(n)
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """Of each sequence, the number of its node at a depth: shared by those that agree in so many words."""
+        return np.cumsum(self.common < depth)[self.place]
+
+
+def repeats(words: np.ndarray, offset: np.ndarray, count: np.ndarray, doc: np.ndarray, at: np.ndarray, bucket: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Record and number of each window that isn't the first of its kind. A record is ``count`` windows in a row with one anchor, ``offset`` words after the
+    first's start; ``words`` holds the records' words one after another. Windows go in the order of doc, bucket and place."""
+    n, most = shape.window, shape.window - shape.prefix
+    size = count + n - 1
+    begin = np.cumsum(size) - size
+    right, left = np.zeros((n, len(size)), U64), np.zeros((most, len(size)), U64)
+    for k in range(n):
+        ok = offset + k < size
+        right[k, ok] = words[begin[ok] + offset[ok] + k]
+    for k in range(most):
+        ok = offset > k
+        left[k, ok] = words[begin[ok] + offset[ok] - 1 - k]
+    suffixes, contexts = Tree(right), Tree(left)
+    found, which = [], []
+    for o in range(most + 1):
+        mine = np.flatnonzero((offset >= o) & (offset - o < count))
+        if len(mine) < 2:
+            continue
+        key = suffixes.nodes(n - o)[mine] * (len(size) + 1) + contexts.nodes(o)[mine]
+        number = offset[mine] - o
+        order = np.lexsort((at[mine] + number, bucket[mine], doc[mine], key))
+        again = order[1:][key[order[1:]] == key[order[:-1]]]
+        found.append(mine[again])
+        which.append(number[again])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(found), np.concatenate(which)) if found else (none, none)
+
+
+def _subtrees(shape: Shape):
+    def run(batches):
+        """The repeats among this task's windows, sent back to their buckets."""
+        got = [[], [], [], [], []]
+        for batch in batches:
+            docs = batch.column("docs").to_pylist()
+            got[0] += [_u(x) for x in batch.column("words").to_pylist()]
+            got[1] += [_u(x, np.uint8) for x in batch.column("shapes").to_pylist()]
+            got[2] += [_u(x, np.int64) for x in docs]
+            got[3] += [_u(x, np.uint32) for x in batch.column("at").to_pylist()]
+            got[4] += [np.full(len(d) // 8, b, np.int32) for d, b in zip(docs, batch.column("bucket").to_pylist(), strict=True)]
+        if not got[0]:
+            return
+        words, shapes, doc, at, bucket = map(np.concatenate, got)
+        offset, count = shapes.reshape(-1, 2).astype(np.int64).T
+        record, number = repeats(words, offset, count, doc, at.astype(np.int64), bucket, shape)
+        rows = [(b, 1, None, d.tobytes(), a.astype(np.uint32).tobytes()) for b, d, a in cut(doc[record], bucket[record], at[record] + number)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _REPLY.types, strict=True)], schema=_REPLY)
+
+    return run
 
 
 _OUT = "doc_id long, text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>"
@@ -296,7 +360,8 @@ def _removed(shape: Shape, keep: tuple[str, ...]):
         known = np.unique(_joined(replies.column("fps").filter(pa.array(kinds == 0))))
         far = replies.filter(pa.array(kinds == 1))
         far_doc, far_at = _joined(far.column("docs"), np.int64), _joined(far.column("at"), np.uint32).astype(np.int64)
-        pieces, doc, at, _, _, first = _candidates(docs, ids, known, shape)
+        c = Candidates(docs, known, shape)
+        pieces, doc, at, first = c.pieces, c.doc, c.at, c.first
         number = np.searchsorted(ids, far_doc)
         # rows of one doc_id share a bucket, and only the first of equal windows went out: find its row among them
         if len(number) and (np.diff(ids) == 0).any():
@@ -350,28 +415,28 @@ def kept_text(text: np.ndarray, s: Suffixes, keep: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(out[mask]))
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, prefix: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, prefix: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word that a window of ``window`` words covers whose words also start earlier
     (smaller doc_id, or the same document further left).
 
     Takes doc_id and text; other columns than those of ``keep`` are ignored. Returns doc_id, text (kept words joined by one
     space), n_words, n_removed, spans (removed word ranges, end exclusive) and ``keep``, one row for each input
-    row. Null texts count as empty and give empty text. Null doc_ids come last; rows of one
-    doc_id are ordered by text. Empty tables give empty results.
+    row. Null texts count as empty and give empty text. Null doc_ids come last. Rows of one
+    doc_id (or without) go in the order of a hash of their text, then of the text; of equal rows one is the first. Empty tables give empty results.
     """
     spark = docs.sparkSession
     shape = Shape(window, prefix)
     size = text_bytes(docs)
-    n_buckets = max(64, -(-size // BUCKET_BYTES))
+    n_buckets = max(64, min(BUCKETS, -(-size // BUCKET_BYTES)))
     n_parts = max(shuffle_partitions(spark), -(-size // (32 << 20)))
-    docs = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    docs = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     ddl = "part int, bucket int, fps binary, buckets binary"
     reply = "bucket int, kind int, fps binary, docs binary, at binary"
     asked = docs.select("bucket", "text").mapInArrow(_short_prefixes(8 * n_parts, shape), ddl)
     short = materialise(asked.repartition(n_parts, "part").mapInArrow(_repeated_prefixes, reply))
     frequent = frequent_prefixes(docs, shape)
-    dealt = docs.select("bucket", "doc_id", "text", *keep).groupBy("bucket").cogroup(short.groupBy("bucket")).applyInArrow(_suffixes_out(8 * n_parts, shape, frequent), "part int, bucket int, groups binary, paths binary, docs binary, at binary")
-    repeats = dealt.repartition(n_parts, "part").mapInArrow(_subtrees, reply)
+    dealt = docs.select("bucket", "doc_id", "text", *keep).groupBy("bucket").cogroup(short.groupBy("bucket")).applyInArrow(_suffixes_out(8 * n_parts, shape, frequent), "part int, bucket int, words binary, shapes binary, docs binary, at binary")
+    repeats = dealt.repartition(n_parts, "part").mapInArrow(_subtrees(shape), reply)
     schema = ", ".join([_OUT, *(f"`{c}` {kinds[c]}" for c in keep)])
     return docs.select("bucket", "doc_id", "text", *keep).groupBy("bucket").cogroup(short.union(repeats).groupBy("bucket")).applyInArrow(_removed(shape, keep), schema)
