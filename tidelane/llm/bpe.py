@@ -42,15 +42,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         coder = encoder(path, joined=False, trie=True)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for a, b, places, bounds, texts in coder.slices(batch.column("text")):
+            for a, b, places, bounds in coder.slices(batch.column("text")):
                 parts = list(map(coder.extras.__getitem__, places.tolist()))
                 for i in range(b - a):
-                    if i in texts:
-                        ids = coder.library(texts[i])
-                        counts.append(len(ids))
-                        ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                        text_sha.append(hashlib.sha256(coder.tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest())
-                        continue
                     own = parts[bounds[i] : bounds[i + 1]]
                     counts.append(sum(p[2] for p in own))
                     ids_sha.append(hashlib.sha256(b" ".join([p[0] for p in own])).hexdigest())

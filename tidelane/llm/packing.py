@@ -1,16 +1,15 @@
 """Best-fit packing of documents into sequences, improved by swap-based local search.
 
 Documents are cut only where they exceed the capacity. Pieces are dealt at random into groups of
-about ``GROUP``; each group is packed by best fit, longest first, then local search moves a piece or exchanges
-one or two for one between underfull bins whenever the sum of squared fills grows, so that fill
-leaves the emptiest bins until they can be given up. Bins filled to ``CLOSED`` are final; the pieces
+about ``GROUP``; each group is packed by best fit, longest first, then local search moves one or two pieces, or exchanges one or two for
+one, between underfull bins whenever the sum of squared fills grows, so that fill
+leaves the emptiest bins until they can be given up. It ends when no exchange is left or the number of bins cannot be less. Bins filled to ``CLOSED`` are final; the pieces
 of the others of all groups are dealt out and packed again, until one group is left or nothing is gained.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -23,9 +22,7 @@ from pyspark.sql import types as T
 from tidelane.llm.shared import materialise
 from tidelane.llm.tokens import encoder
 
-GROUP, CLOSED = 16_384, 0.99
-#: Emptiest bins that give pieces away in a round of the local search, and rounds at most.
-DONORS, ROUNDS = 8, 64
+GROUP, CLOSED = 8192, 0.99
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -53,53 +50,77 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Move or exchange pieces between underfull bins while that raises the sum of squared fills and a bin can still be given up."""
-    fill = [sum(lengths[p] for p in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    for _ in range(ROUNDS):
-        if sum(f > 0 for f in fill) <= least:
-            break
-        under = sorted((i for i, f in enumerate(fill) if 0 < f < capacity), key=lambda i: fill[i])
+    """Move or exchange pieces between underfull bins while that raises the sum of squared fills and a bin can still be given up.
+
+    The emptiest bin gives first; each time it makes the exchange, with any fuller bin, that it loses most by. All that a bin could give back (nothing,
+    or one piece) stand in one array, so that an exchange is found by a search in the sums of one or two of the giver's pieces.
+    """
+    fill = np.array([sum(lengths[p] for p in b) for b in bins], np.int64)
+    least = -(-int(fill.sum()) // capacity)
+    if len(bins) <= least:
+        return bins
+    taker, paid = _returns(bins, lengths, np.flatnonzero(fill < capacity))
+    changed = True
+    while changed and (fill > 0).sum() > least:
         changed = False
-        for donor in under[:DONORS]:
-            offers = _offers(bins[donor], lengths)
-            for taker in reversed(under):
-                if not fill[donor] or fill[taker] <= fill[donor] or taker == donor:
+        for donor in sorted(np.flatnonzero((fill > 0) & (fill < capacity)).tolist(), key=lambda i: (fill[i], i)):
+            while 0 < fill[donor] < capacity:
+                sums = _sums([lengths[p] for p in bins[donor]])
+                room = np.where((taker != donor) & (fill[taker] >= fill[donor]), capacity - fill[taker], -1)
+                at = np.searchsorted(sums, paid + room, "right") - 1
+                gain = np.where((room > 0) & (at >= 0), sums[at] - paid, 0)
+                best = int(gain.argmax()) if len(gain) else 0
+                if not len(gain) or gain[best] <= 0:
                     break
-                if fill[taker] < capacity and (gain := _exchange(bins, lengths, donor, taker, capacity - fill[taker], offers)):
-                    fill[donor] -= gain
-                    fill[taker] += gain
-                    offers, changed = _offers(bins[donor], lengths), True
-        if not changed:
-            break
+                to, back = int(taker[best]), int(paid[best])
+                _exchange(bins, lengths, donor, to, int(gain[best]) + back, back)
+                fill[donor] -= gain[best]
+                fill[to] += gain[best]
+                keep = (taker != donor) & (taker != to)
+                new = _returns(bins, lengths, [i for i in (donor, to) if 0 < fill[i] < capacity])
+                taker, paid = np.concatenate([taker[keep], new[0]]), np.concatenate([paid[keep], new[1]])
+                changed = True
+            if (fill > 0).sum() <= least:
+                break
     return [b for b in bins if b]
 
 
-def _offers(donor: list[int], lengths: list[int]) -> tuple[list[int], list[tuple[int, ...]]]:
-    """Sizes, ascending, and pieces of what a bin can give: one piece or two (pairs among its 64 shortest)."""
-    ones = sorted((lengths[p], p) for p in donor)
-    both = sorted([(s, (p,)) for s, p in ones] + [(x + y, (p, q)) for i, (x, p) in enumerate(ones[:64]) for y, q in ones[i + 1 : 64]])
-    return [s for s, _ in both], [p for _, p in both]
-
-
-def _exchange(bins, lengths, donor: int, taker: int, room: int, offers) -> int:
-    """Make the exchange that fills the taker most: one or two of the donor's pieces for none or one of the taker's. Returns what it gained."""
-    sizes, given = offers
-    best, move = 0, None
-    for back in (None, *bins[taker]):
-        paid = lengths[back] if back is not None else 0
-        at = bisect_right(sizes, room + paid) - 1
-        if at >= 0 and sizes[at] - paid > best:
-            best, move = sizes[at] - paid, (given[at], back)
-    if move:
-        pieces, back = move
-        for p in pieces:
-            bins[donor].remove(p)
-            bins[taker].append(p)
-        if back is not None:
-            bins[taker].remove(back)
-            bins[donor].append(back)
-    return best
+def _returns(bins: list[list[int]], lengths: list[int], which) -> tuple[np.ndarray, np.ndarray]:
+    """What each bin can give back: nothing, or one piece of each of its lengths."""
+    rows = [(i, s) for i in map(int, which) for s in (0, *sorted({lengths[p] for p in bins[i]}))]
+    x = np.array(rows, np.int64).reshape(-1, 2)
+    return x[:, 0].copy(), x[:, 1].copy()
+
+
+def _sums(sizes: list[int]) -> np.ndarray:
+    """Ascending sums of one or two of the sizes."""
+    seen = both = 0
+    for s in sizes:
+        both |= seen << s
+        seen |= 1 << s
+    bits = seen | both
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(bits.bit_length() // 8 + 1, "little"), np.uint8), bitorder="little"))
+
+
+def _exchange(bins, lengths, donor: int, taker: int, given: int, back: int) -> None:
+    """Move one or two pieces that sum to ``given`` from donor to taker, and one of length ``back`` (none if 0) the other way."""
+    where: dict[int, int] = {}
+    for p in bins[donor]:
+        if lengths[p] == given:
+            pieces = [p]
+            break
+        other = where.get(given - lengths[p])
+        if other is not None:
+            pieces = [p, other]
+            break
+        where[lengths[p]] = p
+    if back:
+        p = next(p for p in bins[taker] if lengths[p] == back)
+        bins[taker].remove(p)
+        bins[donor].append(p)
+    for p in pieces:
+        bins[donor].remove(p)
+        bins[taker].append(p)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ one shift and mask.
 
 A payload is, little-endian: ``S8B1``, uint32 block size, uint64 number of values, uint32 numbers of
 blocks and of escapes, uint64 number of words, uint32 first words of blocks, uint32 places of escapes,
-the words. Files are tables of records (shard, seq, doc_ids, lengths, payload); records of ascending
+the words. Files are tables of records (shard, seq, ids of the shard before it, doc_ids, lengths, payload); records of ascending
 (shard, seq) hold documents in ascending doc_id order.
 """
 
@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,77 +139,61 @@ def unpack_block(payload: bytes, block: int) -> np.ndarray:
     return _decode(words[lo:hi], own, min(size, n - block * size))
 
 
-_RECORD = "shard int, seq int, n_values long, doc_ids binary, lengths binary, payload binary"
+_RECORD = "shard int, seq int, inside long, n_values long, doc_ids binary, lengths binary, payload binary"
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
     """Encode doc_id and text, append ``end_id`` to each document and write files in ascending doc_id order.
 
-    Null texts give the end id alone. Null doc_ids come last; rows of one doc_id are ordered by
-    text. Shards are ranges of doc_id cut at quantiles; Spark commits the files, so a lost executor
-    leaves none half written.
+    Null texts give the end id alone. Null doc_ids come last; rows of one doc_id are ordered by a hash of their text, then by
+    text. Shards are Spark's range partitions of (doc_id, hash), so equal or null doc_ids are spread over several. Spark commits the files, so a
+    lost executor leaves none half written.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     shards = max(2 * shuffle_partitions(spark), -(-text_bytes(docs) // (32 << 20)))
-    steps = [k / shards for k in range(1, shards)]
-    edges = sorted(set(docs.agg(F.percentile_approx("doc_id", steps, 100 * shards)).first()[0] or []))
-
-    def shard_of(batches):
-        cuts = np.array(edges, np.int64)
-        for batch in batches:
-            shard = np.searchsorted(cuts, batch.column("doc_id").to_numpy(), "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column("doc_id"), batch.column("text")], names=["shard", "doc_id", "text"])
 
     def encoded(batches):
         coder = encoder(vocabulary, joined=True)
-        shard, seq, held, ids, lengths, documents = None, 0, 0, [], [], []
+        shard, seq, inside, held, ids, lengths, documents = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 
         def record():
-            payload = pack(np.concatenate(ids) if ids else np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (seq, pa.int32()), (held, pa.int64()), (np.concatenate(documents).tobytes(), pa.binary()), (np.concatenate(lengths).astype("<u4").tobytes(), pa.binary()), (payload, pa.binary()))], names=["shard", "seq", "n_values", "doc_ids", "lengths", "payload"])
+            payload = pack(np.concatenate(ids))
+            row = ((shard, pa.int32()), (seq, pa.int32()), (inside, pa.int64()), (held, pa.int64()), (np.concatenate(documents).tobytes(), pa.binary()), (np.concatenate(lengths).astype("<u4").tobytes(), pa.binary()), (payload, pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], names=["shard", "seq", "inside", "n_values", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            shards_here = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shards_here)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.slice(lo, hi - lo)
-                if not part.num_rows:
-                    continue
-                if shard is not None and shards_here[lo] != shard:
-                    if held:
-                        yield record()
-                    seq, held, ids, lengths, documents = 0, 0, [], [], []
-                shard = int(shards_here[lo])
-                names = part.column("doc_id").to_numpy()
-                for a, b, found, bounds in coder.ids(part.column("text")):
-                    size = np.diff(bounds)
-                    out = np.full(len(found) + b - a, end_id, np.int64)
-                    keep = np.ones(len(out), bool)
-                    keep[bounds[1:] + np.arange(b - a)] = False
-                    out[keep] = found
-                    ids.append(out)
-                    lengths.append(size + 1)
-                    documents.append(names[a:b].astype("<i8"))
-                    held += len(out)
-                    if held >= RECORD:
-                        yield record()
-                        seq, held, ids, lengths, documents = seq + 1, 0, [], [], []
+            names = batch.column("doc_id").to_numpy()
+            for a, b, found, bounds in coder.ids(batch.column("text")):
+                out = np.full(len(found) + b - a, end_id, np.int64)
+                keep = np.ones(len(out), bool)
+                keep[bounds[1:] + np.arange(b - a)] = False
+                out[keep] = found
+                ids.append(out)
+                lengths.append(np.diff(bounds) + 1)
+                documents.append(names[a:b].astype("<i8"))
+                held += len(out)
+                if held >= RECORD:
+                    yield record()
+                    seq, inside, held, ids, lengths, documents = seq + 1, inside + held, 0, [], [], []
         if held:
             yield record()
 
-    dealt = docs.mapInArrow(shard_of, "shard int, doc_id long, text string").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    dealt = docs.repartitionByRange(shards, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
     dealt.mapInArrow(encoded, _RECORD).write.option("compression", "zstd").parquet(path)
 
 
+#: Shards (of some 32 MB of text) whose starts are small enough to be broadcast: 16 MB.
+FEW = 1_000_000
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of token files, with the number of ids before each."""
+    """Records of token files, with the number of ids before each. Payloads aren't shuffled while there are up to ``FEW`` shards."""
     records = spark.read.schema(_RECORD).parquet(path)
     shards = records.groupBy("shard").agg(F.sum("n_values").alias("n"))
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))  # one row a shard
-    within = Window.partitionBy("shard").orderBy("seq")
-    sizes = records.select("shard", "seq", (F.sum("n_values").over(within) - F.col("n_values")).alias("inside"))
-    return records.join(sizes.join(before, "shard").select("shard", "seq", (F.col("base") + F.col("inside")).alias("start")), ["shard", "seq"])
+    before = F.broadcast(before) if shards.count() <= FEW else before.hint("merge")
+    return records.join(before, "shard").withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside")
 
 
 def documents(records: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Byte-pair encoding of whole text columns, one distinct word at a time.
 
 Words (pre-tokens) are found on bytes with vector operations where a text holds only Latin-1
-characters; each distinct word is encoded once for a Python worker and looked up by hash after
-that. Other texts, and those that may hold special tokens, go to the tokenizers library whole.
-The look-up table is emptied when it has ``CACHE_WORDS`` words, so memory stays bounded.
+characters; in other texts, and those that may hold special tokens, by the tokenizers library's normaliser and pre-tokeniser.
+Either way each distinct word is encoded once for a Python worker and looked up by its bytes after
+that. The look-up table is emptied when it has ``CACHE_WORDS`` words, so memory stays bounded.
 
 ``TrieWords`` encodes words by prefix-sharing trie traversal, ``LibraryWords`` by the
 tokenizers library.
@@ -11,6 +11,7 @@ tokenizers library.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -30,7 +31,7 @@ def _class_of(char: str) -> int:
 
 
 _CLASS = np.array([_class_of(chr(c)) for c in range(256)], np.uint8)
-#: Bytes that send a text to the library: controls whose class differs between regex engines, and all but two-byte Latin-1.
+#: Bytes that send a text to the library's pre-tokeniser: controls whose class differs between regex engines, and all but two-byte Latin-1.
 _SLOW = np.zeros(256, bool)
 _SLOW[:9] = _SLOW[0x0E:0x20] = _SLOW[0x7F] = True
 _SLOW[0xC4:] = True
@@ -47,10 +48,19 @@ def byte_alphabet() -> str:
 _ALPHABET = {i: c for i, c in enumerate(byte_alphabet())}
 
 
+_BYTES = {ord(c): i for i, c in _ALPHABET.items()}
+#: Before a special token in the table of words; no UTF-8 word begins with it.
+_SPECIAL = b"\xff"
+
+
 def to_alphabet(word: bytes) -> str:
     return word.decode("latin-1").translate(_ALPHABET)
 
 
+def from_alphabet(word: str) -> bytes:
+    return word.translate(_BYTES).encode("latin-1")
+
+
 class Pretokens:
     """Word spans of a slice of Latin-1 documents.
 
@@ -226,7 +236,8 @@ class Encoder:
 
     def __init__(self, tokenizer, joined: bool, words: Callable[[list[bytes]], list[list[int]]], extra: Callable[[list[int]], tuple] | None = None):
         self.tokenizer, self.joined, self.words, self.extra = tokenizer, joined, words, extra
-        self.specials = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        self.specials = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(re.escape(x.decode()) for x in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.reset()
 
     def reset(self) -> None:
@@ -235,8 +246,20 @@ class Encoder:
         self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.extras: list[tuple] = []
 
-    def library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _pretokenised(self, text: str) -> list[bytes]:
+        """Words of a text by the library's rules; special tokens, marked, stand for themselves."""
+        out = []
+        for part in self.split.split(text) if self.split else [text]:
+            if part.encode() in self.specials:
+                out.append(_SPECIAL + part.encode())
+            elif part:
+                normal = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
+                out += [from_alphabet(w) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        return out
+
+    def _encoded(self, words: list[bytes]) -> list[list[int]]:
+        plain = iter(self.words([w for w in words if w[:1] != _SPECIAL]))
+        return [[self.specials[w[1:]]] if w[:1] == _SPECIAL else next(plain) for w in words]
 
     def _known(self, words: list[bytes]) -> np.ndarray:
         """Places of distinct words in the table, which is keyed by their bytes."""
@@ -247,7 +270,7 @@ class Encoder:
         new = np.flatnonzero(found < 0)
         if len(new):
             fresh = [words[i] for i in new.tolist()]
-            encoded = self.words(fresh)
+            encoded = self._encoded(fresh)
             sizes = np.array([len(x) for x in encoded], np.int32)
             at = len(self.index)
             while at + len(new) > len(self.begin):
@@ -265,46 +288,52 @@ class Encoder:
                 self.extras += map(self.extra, encoded)
         return found
 
-    def slices(self, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, dict[int, str]]]:
-        """(first, end, words' places in the table, word offsets, texts for the library by number) of each slice of documents."""
+    def slices(self, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, end, words' places in the table, word offsets) of each slice of documents."""
         raw, offsets = buffers(column)
         for a, b in chunks(offsets):
             text, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             odd = _SLOW[text]
             odd[1:] |= (text[:-1] == 0xC2) & (text[1:] <= 0xA0)
-            where = np.flatnonzero(odd)
-            slow = set(np.unique(np.searchsorted(bounds, where, "right") - 1).tolist())
+            slow = set(np.unique(np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1).tolist())
             whole = text.tobytes()
             for special in self.specials:
                 at = whole.find(special)
                 while at >= 0:
                     slow.add(int(np.searchsorted(bounds, at, "right")) - 1)
                     at = whole.find(special, at + 1)
-            texts = {i: whole[bounds[i] : bounds[i + 1]].decode() for i in slow}
+            lists = {i: self._pretokenised(whole[bounds[i] : bounds[i + 1]].decode()) for i in sorted(slow)}
             if slow:
                 keep = np.ones(b - a, bool)
                 keep[list(slow)] = False
-                sizes = np.diff(bounds) * keep
-                text = text[np.repeat(keep, np.diff(bounds))]
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                sizes = np.diff(bounds)
+                text = text[np.repeat(keep, sizes)]
+                bounds = np.concatenate([[0], np.cumsum(sizes * keep)])
             pre = Pretokens(text, bounds, self.joined)
             codes, words = word_codes(pre.text, pre.starts, pre.ends)
+            if lists:
+                number = {w: n for n, w in enumerate(words)}
+                extra = {i: np.array([number.setdefault(w, len(number)) for w in found], np.int64) for i, found in lists.items()}
+                words, parts, at = list(number), [], 0
+                for i, found in extra.items():
+                    parts += [codes[at : pre.offsets[i]], found]
+                    at = pre.offsets[i]
+                codes = np.concatenate([*parts, codes[at:]])
+                size = np.diff(pre.offsets)
+                for i, found in extra.items():
+                    size[i] = len(found)
+                pre.offsets = np.concatenate([[0], np.cumsum(size)])
             places = self._known(words)[codes] if words else np.zeros(0, np.int64)
-            yield a, b, places, pre.offsets, texts
+            yield a, b, places, pre.offsets
 
     def ids(self, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first, end, ids, the documents' offsets in them) of each slice."""
-        for a, b, places, words, texts in self.slices(column):
+        for a, b, places, words in self.slices(column):
             size = self.length[places].astype(np.int64)
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
             out = self.flat[np.repeat(self.begin[places] - (ends - size), size) + np.arange(total)]
-            bounds = np.concatenate([[0], ends])[words]
-            if texts:
-                pieces = [np.array(self.library(texts[i]), np.int32) if i in texts else out[bounds[i] : bounds[i + 1]] for i in range(b - a)]
-                bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-                out = np.concatenate(pieces)
-            yield a, b, out, bounds
+            yield a, b, out, np.concatenate([[0], ends])[words]
 
 
 _encoders: dict[tuple, Encoder] = {}
