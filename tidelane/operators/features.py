@@ -14,7 +14,7 @@ from tidelane.functions.portable import change, lag, ratio, roll, zscore
 Layers = list[dict[str, str]]
 
 
-def technical(returns=(1, 3, 6, 12, 24), sma=(10, 20, 50), volatility=(20, 50), band=20, volume=20, roc=12, bars_a_year=8760) -> Layers:
+def technical(returns=(1, 3, 6, 12, 24), sma=(10, 20, 50, 100, 200), volatility=(20, 50), band=20, volume=20, roc=12, bars_a_year=8760) -> Layers:
     """Returns, moving averages, volatility, bands, volume and candle shape (recurrences are in ``recurrences``)."""
     first = {f"return_{p}h": change("close", p) for p in returns}
     first |= {f"sma_{p}": roll("avg", "close", p) for p in sma}
@@ -25,6 +25,7 @@ def technical(returns=(1, 3, 6, 12, 24), sma=(10, 20, 50), volatility=(20, 50),
     first |= {"true_range": f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"}
     second = {f"price_vs_sma{p}": f"{ratio('close', f'sma_{p}')} - 1" for p in sma}
     second |= {f"sma{a}_vs_sma{b}": f"{ratio(f'sma_{a}', f'sma_{b}')} - 1" for a, b in zip(sma[:-1], sma[1:], strict=True)}
+    second |= {"sma50_vs_sma200": f"{ratio('sma_50', 'sma_200')} - 1"} if {50, 200} <= set(sma) else {}
     second |= {f"rolling_volatility_{w}": f"({roll('stddev_samp', 'log_return', w)}) * sqrt({bars_a_year}.0)" for w in volatility}
     second |= {"bb_upper": "bb_middle + 2 * bb_std", "bb_lower": "bb_middle - 2 * bb_std", "volume_ratio": ratio("volume", f"volume_sma_{volume}"), "body_to_range": ratio("candle_body", "candle_range")}
     third = {"bb_width": ratio("bb_upper - bb_lower", "bb_middle"), "bb_position": ratio("close - bb_lower", "bb_upper - bb_lower")}
@@ -65,7 +66,7 @@ def microstructure(long=480, least=160) -> Layers:
 
 
 def derivatives(long=180, least=60, basis=240) -> Layers:
-    """Funding and basis; reads close, volume, trades, funding_rate, futures_price, futures_volume, futures_trades and futures_taker_buy. Windows are rows of the aligned grid. A null rate counts as not positive."""
+    """Funding and basis; reads close, volume, trades, funding_rate, futures_price, futures_volume, futures_trades and futures_taker_buy. Windows are rows of the aligned grid. A null rate counts as not positive; it has no streak of its own, and neither ends one nor stops its count."""
     run = "sum(streak_break) OVER (PARTITION BY symbol ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     first = {
         "funding_rate_abs": "abs(funding_rate)",
@@ -76,7 +77,7 @@ def derivatives(long=180, least=60, basis=240) -> Layers:
         "funding_rate_zscore_20": zscore("funding_rate", 20),
         "funding_zscore_60d": zscore("funding_rate", long, least),
         "funding_positive": "CASE WHEN funding_rate > 0 THEN 1.0 ELSE 0.0 END",
-        "funding_sign": "CAST(sign(coalesce(funding_rate, 0)) AS INT)",
+        "funding_sign": "CAST(sign(funding_rate) AS INT)",
         "futures_volume_ratio": ratio("futures_volume", roll("avg", "futures_volume", 20)),
         "futures_volume_change": f"futures_volume - {lag('futures_volume')}",
         "futures_price_return_1h": change("futures_price"),
@@ -87,7 +88,7 @@ def derivatives(long=180, least=60, basis=240) -> Layers:
     }
     second = {
         "funding_positive_share_60d": roll("avg", "funding_positive", long, least),
-        "streak_break": f"CASE WHEN funding_sign = {lag('funding_sign')} THEN 0 ELSE 1 END",
+        "streak_break": f"CASE WHEN funding_sign <> {lag('funding_sign')} THEN 1 ELSE 0 END",
         "futures_spot_basis_mean_24": roll("avg", "futures_spot_basis", 24, 6),
         "futures_spot_basis_mean_7d": roll("avg", "futures_spot_basis", 168, 24),
         "futures_basis_zscore_60d": zscore("futures_spot_basis", basis),

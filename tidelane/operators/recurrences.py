@@ -25,7 +25,7 @@ def _span(n: int) -> float:
 
 
 def oscillators(candles: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, wilder: int = 14) -> DataFrame:
-    """symbol, h, ema_fast, ema_slow, macd, macd_signal, macd_histogram, rsi and atr. Spans smooth with 2 / (n + 1), Wilder's measures with 1 / n, each from its first value."""
+    """symbol, h, ema_fast, ema_slow, macd, macd_signal, macd_histogram, rsi, atr and atr_percent (of close). Spans smooth with 2 / (n + 1), Wilder's measures with 1 / n, each from its first value."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("h")
@@ -40,9 +40,11 @@ def oscillators(candles: DataFrame, fast: int = 12, slow: int = 26, signal: int
         prev = np.concatenate([[np.nan], c[:-1]])
         high, low = g["high"].to_numpy(float), g["low"].to_numpy(float)
         tr = np.fmax(high - low, np.fmax(abs(high - prev), abs(low - prev)))
-        return pd.DataFrame({"symbol": g["symbol"], "h": g["h"], "ema_fast": f, "ema_slow": s, "macd": macd, "macd_signal": line, "macd_histogram": macd - line, "rsi": rsi, "atr": smooth(tr, 1 / wilder)}).replace({np.nan: None})
+        atr = smooth(tr, 1 / wilder)
+        percent = np.divide(100 * atr, c, out=np.full(len(c), np.nan), where=np.abs(c) > 1e-12)
+        return pd.DataFrame({"symbol": g["symbol"], "h": g["h"], "ema_fast": f, "ema_slow": s, "macd": macd, "macd_signal": line, "macd_histogram": macd - line, "rsi": rsi, "atr": atr, "atr_percent": percent}).replace({np.nan: None})
 
-    return candles.select("symbol", "h", "high", "low", "close").groupBy("symbol").applyInPandas(run, "symbol string, h long, ema_fast double, ema_slow double, macd double, macd_signal double, macd_histogram double, rsi double, atr double")
+    return candles.select("symbol", "h", "high", "low", "close").groupBy("symbol").applyInPandas(run, "symbol string, h long, ema_fast double, ema_slow double, macd double, macd_signal double, macd_histogram double, rsi double, atr double, atr_percent double")
 
 
 def entries(table: DataFrame, gap: int) -> DataFrame:

@@ -6,7 +6,7 @@ DataFrames, so Catalyst prunes columns and merges scans, and candles are aggrega
 
 from __future__ import annotations
 
-from tidelane.functions.portable import average_rank, digits, lag, lead, roll, wilson
+from tidelane.functions.portable import average_rank, digits, lag, lead, over, roll, wilson
 from tidelane.sources.candles import DAILY, HOURLY, HOURLY_ALL
 
 HOURS = f"c AS ({HOURLY})"
@@ -58,14 +58,15 @@ _CHECKS = {
     "ordering": ("error", "SELECT symbol, count(*) AS n FROM (SELECT symbol, h, lag(h) OVER (PARTITION BY symbol ORDER BY load, seq, close) AS p FROM raw) t WHERE h <= p GROUP BY symbol"),
     "missing_timestamps": ("error", "SELECT symbol, count(*) AS n FROM m GROUP BY symbol"),
     "ohlc_consistency": ("error", "SELECT symbol, count(*) AS n FROM c WHERE NOT coalesce(high >= open AND high >= close AND low <= open AND low <= close, false) GROUP BY symbol"),
-    "null_values": ("error", "SELECT symbol, sum(CASE WHEN open IS NULL THEN 1 ELSE 0 END + CASE WHEN close IS NULL THEN 1 ELSE 0 END + CASE WHEN volume IS NULL THEN 1 ELSE 0 END) AS n FROM c GROUP BY symbol"),
+    "null_values": ("error", f"SELECT symbol, sum({' + '.join(f'CASE WHEN {x} IS NULL THEN 1 ELSE 0 END' for x in ('open', 'high', 'low', 'close', 'volume'))} + CASE WHEN {' OR '.join(f'{x} IS NULL OR abs({x}) > 1e308' for x in ('open', 'high', 'low', 'close'))} THEN 1 ELSE 0 END) AS n FROM c GROUP BY symbol"),
     "positive_prices": ("error", "SELECT symbol, count(*) AS n FROM c WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 GROUP BY symbol"),
-    "non_negative_volume": ("error", "SELECT symbol, count(*) AS n FROM c WHERE volume < 0 GROUP BY symbol"),
+    "non_negative_volume": ("error", "SELECT symbol, count(*) AS n FROM c WHERE volume < 0 OR abs(volume) > 1e308 GROUP BY symbol"),
     "abnormal_gaps": ("warning", "SELECT symbol, count(*) AS n FROM (SELECT symbol, island FROM m GROUP BY symbol, island HAVING count(*) > 2) t GROUP BY symbol"),
     "price_outliers": ("warning", "SELECT x.symbol, count(*) AS n FROM x JOIN mad ON x.symbol = mad.symbol WHERE mad.s > 0 AND abs(r - mad.m) / mad.s > 3 AND abs(r - mad.m) > 0.35 GROUP BY x.symbol"),
-    "zero_volume": ("warning", "SELECT symbol, count(*) AS n FROM c WHERE volume = 0 GROUP BY symbol"),
-    "future_candles": ("error", "SELECT symbol, count(*) AS n FROM c WHERE h > (SELECT max(h) - 1 FROM c) GROUP BY symbol"),
-    "interval_alignment": ("error", "SELECT symbol, count(*) AS n FROM c WHERE h <> floor(h) GROUP BY symbol"),
+    "zero_volume": ("warning", "SELECT symbol, count(*) AS n FROM (SELECT symbol, volume, avg(CASE WHEN volume = 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY symbol) AS share FROM c) t WHERE volume = 0 AND share > 0.01 GROUP BY symbol"),
+    "future_candles": ("error", "SELECT symbol, count(*) AS n FROM c WHERE h * 3600 > (SELECT max(EPOCH_[ts]) FROM {events}) GROUP BY symbol"),
+    # of the rows as they came, in seconds: candles made of them stand on the grid by themselves
+    "interval_alignment": ("error", "SELECT event_type AS symbol, count(*) AS n FROM {events} WHERE EPOCH_[ts] % 1 <> 0 GROUP BY event_type"),
 }
 _UNION = " UNION ALL ".join(f"SELECT s.symbol, '{k}' AS check_name, '{sev}' AS severity, CAST(coalesce(n, 0) AS BIGINT) AS n_failed FROM (SELECT DISTINCT symbol FROM c) s LEFT JOIN ({q}) q ON s.symbol = q.symbol" for k, (sev, q) in _CHECKS.items())
 plan("validate", HOURS, _LOADS, _GRID, _MISSING, _CHECKED, _MED, _MAD, select=f"SELECT symbol, check_name, severity, n_failed, n_failed = 0 AS passed FROM ({_UNION}) t")
@@ -143,7 +144,7 @@ plan("conformal_coverage", HOURS, PREDICTIONS, _HALF, _CONF, select=f"SELECT t.s
 plan("empirical_probability", HOURS, PREDICTIONS, _HALF, "un AS (SELECT symbol, model, h, -pred AS x, 1 AS side FROM ha WHERE i * 2 > n UNION ALL SELECT symbol, model, h, y - pred, 0 FROM ha WHERE i * 2 <= n)", "rk AS (SELECT *, sum(1 - side) OVER (PARTITION BY symbol, model ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below, sum(1 - side) OVER (PARTITION BY symbol, model) AS total FROM un)", select="SELECT symbol, model, h, round((total - below + 0.5) / (total + 1), 6) AS prob_positive FROM rk WHERE side = 1")
 
 # --- regimes, comparisons, reports ---------------------------------------------------------------------------
-_REGIME = f"rg AS (SELECT symbol, h, {roll('avg', 'close', 48, 12)} AS sma, close / {lag('close', 24)} - 1 AS r24, {roll('stddev_pop', 'close', 24, 6)} AS vol, close FROM c), rh AS (SELECT *, {roll('avg', 'vol', 96, 24)} AS base FROM rg), ri AS (SELECT symbol, h, CASE WHEN sma IS NULL OR r24 IS NULL THEN 'unknown' WHEN close > sma AND r24 > 0.05 THEN 'bull' WHEN close < sma AND r24 < -0.05 THEN 'bear' ELSE 'sideways' END AS trend, CASE WHEN vol IS NULL OR base IS NULL THEN 'unknown' WHEN vol > base THEN 'high' ELSE 'low' END AS volatility FROM rh)"
+_REGIME = f"rg AS (SELECT symbol, h, {roll('avg', 'close', 48, 12)} AS sma, close / {lag('close', 24)} - 1 AS r24, {roll('stddev_pop', 'lr', 24, 6)} AS vol, close FROM (SELECT *, CASE WHEN close > 0 AND {lag('close')} > 0 THEN ln(close / {lag('close')}) END AS lr FROM c) c), rh AS (SELECT *, CASE WHEN count(vol) OVER {over(96)} >= 24 THEN PCT_[vol; 0.5] OVER {over(96)} END AS base FROM rg), ri AS (SELECT symbol, h, CASE WHEN sma IS NULL OR r24 IS NULL THEN 'unknown' WHEN close > sma AND r24 > 0.05 THEN 'bull' WHEN close < sma AND r24 < -0.05 THEN 'bear' ELSE 'sideways' END AS trend, CASE WHEN vol IS NULL OR base IS NULL THEN 'unknown' WHEN vol > base THEN 'high' ELSE 'low' END AS volatility FROM rh)"
 plan("regime_labels", HOURS, _REGIME, select="SELECT symbol, h, trend, volatility FROM ri")
 plan("regime_distribution", HOURS, _REGIME, select="SELECT symbol, trend, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY symbol), 4) AS share_pct FROM ri GROUP BY symbol, trend")
 plan("metrics_by_regime", HOURS, PREDICTIONS, _REGIME, select="SELECT ri.trend, m.model, count(*) AS n, CASE WHEN count(*) >= 30 THEN round(sqrt(avg((y - pred) * (y - pred))), 6) END AS rmse, CASE WHEN count(*) >= 30 THEN round(avg(CASE WHEN sign(y) = sign(pred) AND pred <> 0 THEN 1.0 ELSE 0.0 END), 6) END AS hit_rate FROM m JOIN ri ON m.symbol = ri.symbol AND m.h = ri.h GROUP BY 1, 2")
@@ -152,14 +153,20 @@ _MT = f"mt AS (SELECT symbol, model, {_REG} FROM m GROUP BY symbol, model)"
 plan("best_model", HOURS, PREDICTIONS, _MT, select="SELECT symbol, model, round(rmse, 6) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY rmse, model) AS r FROM mt) t WHERE r = 1")
 plan("compare_symbols", HOURS, PREDICTIONS, _MT, select="SELECT t.symbol, t.model, round(t.rmse, 6) AS rmse, round(1 - t.rmse / z.rmse, 6) AS skill, CAST(dense_rank() OVER (PARTITION BY t.model ORDER BY round(t.rmse, 9)) AS BIGINT) AS rank_ FROM mt t JOIN mt z ON t.symbol = z.symbol AND z.model = 'zero'")
 plan("fold_metrics", HOURS, PREDICTIONS, "fo AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY symbol, model ORDER BY h) - 1) * 4 / count(*) OVER (PARTITION BY symbol, model)) AS INT) AS fold FROM m)", "fm AS (SELECT model, symbol, fold, sqrt(avg((y - pred) * (y - pred))) AS rmse FROM fo GROUP BY 1, 2, 3)", select="SELECT model, round(avg(rmse), 6) AS mean_rmse, round(PCT_[rmse; 0.5], 6) AS median_rmse, round(coalesce(stddev_samp(rmse), 0), 6) AS std_rmse, round(min(rmse), 6) AS min_rmse, round(max(rmse), 6) AS max_rmse, count(*) AS n FROM fm GROUP BY model")
-plan("headline_winners", HOURS, PREDICTIONS, _MT, select="SELECT symbol, min_by(model, rmse) AS rmse_winner, max_by(model, mae) AS mae_loser FROM mt WHERE model <> 'reversal' GROUP BY symbol")
+plan("headline_winners", HOURS, PREDICTIONS, _MT, f"ic AS (SELECT symbol, model, corr(ry, rp) AS ic FROM (SELECT symbol, model, {average_rank('y', 'symbol, model')} AS ry, {average_rank('pred', 'symbol, model')} AS rp FROM m WHERE model <> 'zero') t GROUP BY symbol, model)", select="SELECT a.symbol, rmse_winner, best_rmse, ic_winner, best_ic FROM (SELECT symbol, min_by(model, rmse) AS rmse_winner, round(min(rmse), 6) AS best_rmse FROM mt GROUP BY symbol) a JOIN (SELECT symbol, max_by(model, ic) AS ic_winner, round(max(ic), 6) AS best_ic FROM ic GROUP BY symbol) b ON a.symbol = b.symbol")
 plan("pooled_with_intervals", HOURS, PREDICTIONS, _HALF, _CONF, _MT, select="SELECT mt.symbol, mt.model, round(rmse, 6) AS rmse, round(2 * q, 6) AS width FROM mt LEFT JOIN cq ON mt.symbol = cq.symbol AND mt.model = cq.model AND mt.model <> 'zero'")
 plan("feature_coverage", HOURS, f"z AS (SELECT symbol, {roll('avg', 'close', 50)} AS sma_50, {lag('close', 24)} AS lag_24, {roll('avg', 'close', 200)} AS sma_200 FROM c)", select=" UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, count({f}) AS n_present, round(count({f}) * 100.0 / count(*), 4) AS coverage_pct FROM z" for f in ("sma_50", "lag_24", "sma_200")))
 plan("symbol_profile", HOURS, _Y, select="SELECT symbol, count(*) AS n, count(fr) AS n_labelled, round(count(fr) * 100.0 / count(*), 4) AS retention_pct, CASE WHEN count(fr) < count(*) THEN 'no_label' ELSE 'none' END AS largest_drop FROM y GROUP BY symbol")
 plan("baseline_models", HOURS, PREDICTIONS, _HALF, "tr AS (SELECT symbol, avg(y) AS mean_y, avg(CASE WHEN i > floor(n / 2) - 24 THEN y END) AS recent_mean FROM ha WHERE model = 'zero' AND i * 2 <= n GROUP BY symbol)", select="SELECT t.symbol, count(*) AS n, round(sqrt(avg(y * y)), 6) AS rmse_zero, round(sqrt(avg((y - mean_y) * (y - mean_y))), 6) AS rmse_mean, round(sqrt(avg((y - recent_mean) * (y - recent_mean))), 6) AS rmse_trailing FROM ha t JOIN tr ON t.symbol = tr.symbol WHERE t.model = 'zero' AND t.i * 2 > t.n GROUP BY t.symbol")
 
 # --- strategies ----------------------------------------------------------------------------------------------
-_STRAT = "po AS (SELECT symbol, h, r1, CASE WHEN prob >= 0.55 THEN 1 WHEN prob <= 0.45 THEN -1 ELSE 0 END AS pos FROM v), st AS (SELECT symbol, h, pos, coalesce(lag(pos, 1) OVER (PARTITION BY symbol ORDER BY h), 0) AS held, r1 FROM po), nt AS (SELECT symbol, h, pos, held * greatest(least(r1, 0.5), -0.5) * 0.01 - abs(pos - held) * 0.0005 AS net FROM st), eq AS (SELECT symbol, h, pos, net, exp(sum(ln(1 + net)) OVER (PARTITION BY symbol ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS equity FROM nt), dd AS (SELECT *, equity / greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS drawdown FROM eq)"
+# a position earns the return of the hour after it; an opening is charged on its row, a closing one row later. Returns are scaled and cut, as the tables' prices jump
+_RUNNING = "OVER (PARTITION BY symbol ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_STRAT = f"""po AS (SELECT symbol, h, CASE WHEN prob >= 0.55 THEN 1 WHEN prob <= 0.45 THEN -1 ELSE 0 END AS pos, {lead('r1')} AS nxt FROM v),
+    ch AS (SELECT symbol, h, pos, greatest(least(nxt, 0.5), -0.5) * 0.01 AS target, pos - coalesce({lag('pos')}, 0) AS moved FROM po WHERE nxt IS NOT NULL),
+    nt AS (SELECT symbol, h, pos, pos * target - (greatest(moved, 0) + greatest(-coalesce({lag('moved')}, 0), 0)) * 0.0005 AS net FROM ch),
+    eq AS (SELECT symbol, h, pos, net, CASE WHEN sum(CASE WHEN net = -1 THEN 1 ELSE 0 END) {_RUNNING} > 0 THEN 0.0 ELSE (1 - 2 * (sum(CASE WHEN net < -1 THEN 1 ELSE 0 END) {_RUNNING} % 2)) * exp(sum(CASE WHEN net <> -1 THEN ln(abs(1 + net)) END) {_RUNNING}) END AS equity FROM nt),
+    dd AS (SELECT *, equity / greatest(1.0, max(equity) {_RUNNING}) - 1 AS drawdown FROM eq)"""
 plan("strategy_positions", HOURS, PREDICTIONS, _STRAT, select="SELECT symbol, h, pos FROM po")
 plan("strategy_equity", HOURS, PREDICTIONS, _STRAT, select="SELECT symbol, h, round(net, 6) AS net, round(equity, 6) AS equity, round(drawdown, 6) AS drawdown FROM dd")
 plan("strategy_statistics", HOURS, PREDICTIONS, _STRAT, select=f"SELECT symbol, count(*) AS n, round(max_by(equity, h) - 1, 6) AS total_return, round(min(drawdown), 6) AS max_drawdown, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(8760.0), 4) AS sharpe, round(avg(net) / nullif(sqrt(avg(CASE WHEN net < 0 THEN net * net ELSE 0.0 END)), 0) * sqrt(8760.0), 4) AS sortino, round(avg(CASE WHEN pos <> 0 THEN 1.0 ELSE 0.0 END), 6) AS exposure, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round({wilson('sum(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)', 'count(*)', 1)}, 6) AS hit_hi FROM dd GROUP BY symbol")
@@ -175,7 +182,8 @@ plan("per_asset_vs_global", HOURS, PREDICTIONS, _HALF, "own AS (SELECT symbol, a
 plan("buy_and_hold", HOURS, select="SELECT symbol, round(max_by(close, h) / min_by(open, h) - 1, 6) AS gross, round(max_by(close, h) / min_by(open, h) * 0.999 * 0.999 - 1, 6) AS net, round(min(close) / max(close) - 1, 6) AS worst_span, count(*) AS n_bars FROM c GROUP BY symbol")
 plan("scalar_broadcast_median", HOURS, "md AS (SELECT symbol, PCT_[close; 0.5] AS m FROM c GROUP BY symbol)", select="SELECT c.symbol, c.h, round(c.close - md.m, 6) AS centred FROM c JOIN md ON c.symbol = md.symbol")
 plan("model_table_pivot", HOURS, PREDICTIONS, _MT, select="SELECT symbol, round(max(CASE WHEN model = 'momentum' THEN rmse END), 6) AS momentum, round(max(CASE WHEN model = 'reversal' THEN rmse END), 6) AS reversal, round(max(CASE WHEN model = 'zero' THEN rmse END), 6) AS zero_ FROM mt GROUP BY symbol")
-plan("experiment_comparability", HOURS, "z AS (SELECT symbol, min(h) AS first_h, count(*) AS n FROM c GROUP BY symbol)", select="SELECT first_h, count(*) AS n_series, min(n) AS min_rows, max(n) AS max_rows FROM z GROUP BY first_h")
+# experiments: two runs of each series from each of two starts; what they read is told by a digest of start, end, rows and symbol
+plan("experiment_comparability", HOURS, "z AS (SELECT symbol, run, min(h) AS first_h, max(h) AS last_h, count(*) AS n FROM c CROSS JOIN (SELECT SEQ_[CAST(0 AS BIGINT); CAST(3 AS BIGINT)] AS run) r WHERE h >= (SELECT min(h) FROM c) + (run % 2) * 48 GROUP BY symbol, run)", "mf AS (SELECT *, md5(concat(symbol, '|', CAST(first_h AS STRING), '|', CAST(last_h AS STRING), '|', CAST(n AS STRING))) AS manifest FROM z)", select="SELECT manifest, count(*) AS n_experiments, count(DISTINCT first_h) AS n_starts, min(n) AS n_rows, count(*) > 1 AS comparable FROM mf GROUP BY manifest")
 plan("drop_report", HOURS, "z AS (SELECT symbol, close > 0 AS priced, h % 50 <> 0 AS kept_grid, count(*) AS n FROM c GROUP BY 1, 2, 3)", select="SELECT symbol, CAST(sum(n) AS BIGINT) AS n_input, CAST(sum(CASE WHEN NOT priced THEN n ELSE 0 END) AS BIGINT) AS dropped_price, CAST(sum(CASE WHEN priced AND NOT kept_grid THEN n ELSE 0 END) AS BIGINT) AS dropped_grid, CAST(sum(CASE WHEN priced AND kept_grid THEN n ELSE 0 END) AS BIGINT) AS n_kept FROM z GROUP BY symbol")
 plan("position_bars", HOURS, PREDICTIONS, _STRAT, "ru AS (SELECT symbol, h, pos, CASE WHEN pos = lag(pos) OVER (PARTITION BY symbol ORDER BY h) THEN 0 ELSE 1 END AS new FROM po)", "rn AS (SELECT symbol, h, pos, sum(new) OVER (PARTITION BY symbol ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ru)", select="SELECT symbol, pos, CAST(run AS BIGINT) AS run, min(h) AS from_h, max(h) AS to_h, count(*) AS bars FROM rn GROUP BY symbol, pos, run")
 plan("shared_features", HOURS, f"w AS (SELECT symbol, {lag('close', 24)} AS lag_24, {roll('avg', 'close', 50)} AS sma_50, {roll('avg', 'close', 650)} AS sma_650 FROM c)", "z AS (SELECT symbol, count(lag_24) AS a, count(sma_50) AS b, count(sma_650) AS d FROM w GROUP BY symbol)", select="SELECT 'lag_24' AS feature, min(a) > 0 AS shared FROM z UNION ALL SELECT 'sma_50', min(b) > 0 FROM z UNION ALL SELECT 'sma_650', min(d) > 0 FROM z")

@@ -71,6 +71,20 @@ _group("features_derivatives", aligned, _ALIGNED, features.derivatives(), hide=(
 _INDEX = "SELECT 'signup' AS symbol, CAST(floor(h / 24) AS BIGINT) AS h, avg(close) AS value FROM c WHERE symbol = 'signup' GROUP BY 2"
 _group("features_sentiment", lambda s, d: s.sql(in_spark(_INDEX.replace("FROM c", "FROM {c}")), c=hourly(_events(s, d))), f"WITH {HOURS} {_INDEX}", features.sentiment(long=10, least=5), hide=("moved", "quiet_run"), with_source=("value",))
 
+# a day's index values are known from the day's end on, for three days
+_DAILY_INDEX = features.sentiment(long=10, least=5)
+_INDEX_SHOWN = ["value", "mean_7", "regime"]
+
+
+def _hourly_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = hourly(_events(spark, sf_dir))
+    days = features.add(spark.sql(in_spark(_INDEX.replace("FROM c", "FROM {c}")), c=c), [{n: in_spark(e) for n, e in layer.items()} for layer in _DAILY_INDEX])
+    known = days.select(F.lit("purchase").alias("symbol"), (F.col("h") * 24 + 24).alias("known"), *_INDEX_SHOWN)
+    return asof.asof_join(c.where("symbol = 'purchase'").select("symbol", "h"), known, ["symbol"], "h", "known", _INDEX_SHOWN, max_age=72).selectExpr("symbol", "h", *map(_shown, _INDEX_SHOWN))
+
+
+_add("features_sentiment_hourly", _hourly_index, f"SELECT t.symbol, t.h, {', '.join(f'CASE WHEN t.h - f.h * 24 - 24 <= 72 THEN {n if n in WHOLE else digits(n)} END AS {n}' for n in _INDEX_SHOWN)} FROM (SELECT symbol, h FROM ({HOURLY}) c WHERE symbol = 'purchase') t ASOF LEFT JOIN (WITH {features.sql(f'WITH {HOURS} {_INDEX}', _DAILY_INDEX)} SELECT *, h * 24 + 24 AS known FROM f) f ON t.h >= f.known")
+
 _BAR = "SELECT symbol, CAST(floor(h / {w}) AS BIGINT) * {w} + {w} AS done, max_by(close, h) AS {c}, sum(volume) AS {v} FROM c GROUP BY 1, 2"
 
 
@@ -100,8 +114,8 @@ _OSCILLATORS = f"""WITH RECURSIVE {_ORDERED}, e AS (
         CASE WHEN e.up IS NULL THEN greatest(n.step, 0) ELSE e.up + (greatest(n.step, 0) - e.up) / 14 END,
         CASE WHEN e.down IS NULL THEN greatest(-n.step, 0) ELSE e.down + (greatest(-n.step, 0) - e.down) / 14 END, e.atr + (n.tr - e.atr) / 14
     FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1)
-    SELECT symbol, h, round(f, 6) AS ema_fast, round(s, 6) AS ema_slow, round(f - s, 6) AS macd, round(g, 6) AS macd_signal, round(f - s - g, 6) AS macd_histogram, round(CASE WHEN up + down > 1e-12 THEN 100 * up / (up + down) END, 6) AS rsi, round(atr, 6) AS atr FROM e"""
-_add("oscillators_ema_macd_rsi_atr", lambda s, d: recurrences.oscillators(hourly(_events(s, d))).selectExpr("symbol", "h", *(f"round({c}, 6) AS {c}" for c in ("ema_fast", "ema_slow", "macd", "macd_signal", "macd_histogram", "rsi", "atr"))), _OSCILLATORS)
+    SELECT symbol, h, round(f, 6) AS ema_fast, round(s, 6) AS ema_slow, round(f - s, 6) AS macd, round(g, 6) AS macd_signal, round(f - s - g, 6) AS macd_histogram, round(CASE WHEN up + down > 1e-12 THEN 100 * up / (up + down) END, 6) AS rsi, round(atr, 6) AS atr, round(CASE WHEN abs(price) > 1e-12 THEN 100 * atr / price END, 6) AS atr_percent FROM e JOIN (SELECT symbol AS of_symbol, i AS place, close AS price FROM n) q ON symbol = of_symbol AND i = place"""
+_add("oscillators_ema_macd_rsi_atr", lambda s, d: recurrences.oscillators(hourly(_events(s, d))).selectExpr("symbol", "h", *(f"round({c}, 6) AS {c}" for c in ("ema_fast", "ema_slow", "macd", "macd_signal", "macd_histogram", "rsi", "atr", "atr_percent"))), _OSCILLATORS)
 _GREEDY = "t AS (SELECT symbol, min(h) AS h FROM sig GROUP BY symbol UNION ALL SELECT t.symbol, (SELECT min(h) FROM sig WHERE sig.symbol = t.symbol AND sig.h >= t.h + 6) FROM t WHERE (SELECT min(h) FROM sig WHERE sig.symbol = t.symbol AND sig.h >= t.h + 6) IS NOT NULL)"
 _add("entries_not_overlapping", lambda s, d: recurrences.entries(hourly(_events(s, d)).where("close > 60"), 6), f"WITH RECURSIVE {HOURS}, sig AS (SELECT symbol, h FROM c WHERE close > 60), {_GREEDY} SELECT symbol, h FROM t")
 
