@@ -295,8 +295,7 @@ def grouped(docs: DataFrame, numerator: int = 80, shingle: int = 5, keep: tuple[
     members = classes.select("key", "n", "bands", "sketch").join(sets.select("key").hint("merge"), "key", "left_semi").join(found.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("key", "n", "bands", "sketch", F.coalesce("root", "key").alias("component"))
     rest = _across(materialise(members), sets, parts, numerator)
     if rest is not None:
-        links = links.union(rest)
-        found = components(links)
+        found = components(found.toDF("a", "b").union(rest))
     roots = found.withColumnRenamed("node", "key")
     rooted = materialise(classes.select("key", "rep", "rank", "rid").join(roots.hint("merge"), "key", "left").select("key", "rep", "rank", "rid", F.coalesce("root", "key").alias("root")))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.min(F.struct("rank", "rid")).alias("s")).select("root", "component_id", F.col("s.rid").alias("head"))
