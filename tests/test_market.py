@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelane.functions.portable import roll, wilson, zscore
 from tidelane.functions.portable import spark as in_spark
-from tidelane.operators import asof, features, recurrences
+from tidelane.operators import asof, backtest, features, recurrences
 from tidelane.plans import registry
 from tidelane.sources import paged, sinks
 from tidelane.sources.candles import hourly
@@ -90,9 +90,21 @@ def test_entries_and_trades(spark):
     c = candles(spark, range(1, 13))
     assert [r.h for r in recurrences.entries(c, 5).orderBy("h").collect()] == [0, 5, 10]
     t = recurrences.trades(c.withColumn("prob", F.lit(0.9)), hold=3, cost=0.0, slip=0.0).orderBy("entry_h").collect()
-    assert [(r.entry_h, r.exit_h) for r in t] == [(1, 3), (4, 6), (7, 9), (10, 11)]
+    assert [(r.entry_h, r.exit_h) for r in t] == [(1, 3), (5, 7), (9, 11)]
     assert t[0].gross == pytest.approx(4 / 2 - 1)
     assert recurrences.trades(c.withColumn("prob", F.lit(0.1))).count() == 0
+    falling = c.withColumn("prob", F.when(F.col("h") == 3, 0.2).otherwise(0.9))
+    assert [(r.entry_h, r.exit_h, r.early) for r in recurrences.trades(falling, hold=5, exit_below=0.5).orderBy("entry_h").collect()] == [(1, 3, True), (5, 9, False), (11, 11, False)]
+
+
+def test_equity_of_one_trade(spark):
+    c = candles(spark, [10, 10, 20, 40, 5, 5]).withColumn("prob", F.when(F.col("h") == 0, 0.9).otherwise(0.1))
+    ledger = backtest.priced(recurrences.trades(c, hold=3, cost=0.0, slip=0.0), capital=100.0, cost=0.0)
+    e = backtest.equity(c, ledger, capital=100.0).orderBy("h").collect()
+    assert [round(r.equity, 6) for r in e] == [100, 100, 200, 400, 400, 400]
+    assert [r.in_position for r in e] == [False, True, True, True, False, False]
+    none = backtest.equity(c, ledger.where("false"), capital=100.0).collect()
+    assert {(r.equity, r.in_position) for r in none} == {(100.0, False)}
 
 
 def test_wilson_is_within_bounds(spark):

@@ -61,10 +61,16 @@ def entries(table: DataFrame, gap: int) -> DataFrame:
     return table.select("symbol", "h").groupBy("symbol").applyInPandas(run, "symbol string, h long")
 
 
-def trades(table: DataFrame, threshold: float = 0.6, hold: int = 6, cost: float = 0.001, slip: float = 0.0005) -> DataFrame:
-    """Trade ledger of (symbol, h, open, close, prob): a signal at row t enters at the open of t + 1 and leaves at the close of t + hold (or the last row); no trade overlaps another, a signal on the last row gives none.
+def _price(x) -> bool:
+    return x is not None and x == x and 0 < x < float("inf")
 
-    Returns symbol, entry_h, exit_h, entry, exit, gross, net (after costs at both ends) and bars.
+
+def trades(table: DataFrame, threshold: float = 0.6, hold: int = 6, cost: float = 0.001, slip: float = 0.0005, exit_below: float | None = None) -> DataFrame:
+    """Trade ledger of (symbol, h, open, close, prob): a signal at row t enters at the open of t + 1 and leaves at the close of t + hold (or the last row), or
+    earlier at the close of the first row after the entry's whose prob is under ``exit_below``. Signals count again after the row of the exit, so no trades overlap;
+    one on the last row gives none, nor do prices that are null or not above 0. Null and NaN probs are no signal.
+
+    Returns symbol, entry_h, exit_h, raw_entry, raw_exit, entry and exit (with slippage), gross (of raw prices), net (after slippage and costs at both ends), bars and early.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -72,13 +78,16 @@ def trades(table: DataFrame, threshold: float = 0.6, hold: int = 6, cost: float
         h, o, c, p = g["h"].tolist(), g["open"].tolist(), g["close"].tolist(), g["prob"].tolist()
         out, t = [], 0
         while t < len(h) - 1:
-            if p[t] == p[t] and p[t] is not None and p[t] >= threshold:
-                a, b = t + 1, min(t + hold, len(h) - 1)
-                entry, leave = o[a] * (1 + slip), c[b] * (1 - slip)
-                out.append((g["symbol"].iloc[0], h[a], h[b], entry, leave, leave / entry - 1, leave / entry * (1 - cost) ** 2 - 1, b - a + 1))
-                t = b
-            else:
+            if p[t] is None or not p[t] >= threshold or not _price(o[t + 1]):
                 t += 1
-        return pd.DataFrame(out, columns=["symbol", "entry_h", "exit_h", "entry", "exit", "gross", "net", "bars"])
+                continue
+            a, b = t + 1, min(t + hold, len(h) - 1)
+            low = [] if exit_below is None else [i for i in range(a + 1, b + 1) if p[i] is not None and p[i] < exit_below]
+            b = low[0] if low else b
+            if _price(c[b]):
+                entry, leave = o[a] * (1 + slip), c[b] * (1 - slip)
+                out.append((g["symbol"].iloc[0], h[a], h[b], o[a], c[b], entry, leave, c[b] / o[a] - 1, leave / entry * (1 - cost) ** 2 - 1, b - a + 1, bool(low)))
+            t = b + 1
+        return pd.DataFrame(out, columns=["symbol", "entry_h", "exit_h", "raw_entry", "raw_exit", "entry", "exit", "gross", "net", "bars", "early"])
 
-    return table.select("symbol", "h", "open", "close", "prob").groupBy("symbol").applyInPandas(run, "symbol string, entry_h long, exit_h long, entry double, exit double, gross double, net double, bars long")
+    return table.select("symbol", "h", "open", "close", "prob").groupBy("symbol").applyInPandas(run, "symbol string, entry_h long, exit_h long, raw_entry double, raw_exit double, entry double, exit double, gross double, net double, bars long, early boolean")

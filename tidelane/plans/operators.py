@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelane.functions.portable import digits
 from tidelane.functions.portable import duckdb as in_duckdb
 from tidelane.functions.portable import spark as in_spark
-from tidelane.operators import asof, bootstrap, features, models, recurrences
+from tidelane.operators import asof, backtest, bootstrap, features, models, recurrences
 from tidelane.plans.catalog import HOURS, PREDICTIONS
 from tidelane.sources.candles import DAILY, HOURLY, HOURLY_ALL, daily, hourly, table
 from tidelane.streaming.candles import replay
@@ -126,12 +126,48 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p
 
 
-_LEDGER = f"""{HOURS}, {PREDICTIONS}, g AS (SELECT v.symbol, v.h, v.prob, c.open, c.close, row_number() OVER (PARTITION BY v.symbol ORDER BY v.h) AS i, count(*) OVER (PARTITION BY v.symbol) AS n FROM v JOIN c ON v.symbol = c.symbol AND v.h = c.h),
-    sig AS (SELECT symbol, i AS h FROM g WHERE prob >= 0.6 AND i < n), {_GREEDY},
-    tr AS (SELECT t.symbol, a.h AS entry_h, b.h AS exit_h, a.open * 1.0005 AS entry, b.close * 0.9995 AS exit_, b.i - a.i + 1 AS bars FROM t JOIN g a ON a.symbol = t.symbol AND a.i = t.h + 1 JOIN g b ON b.symbol = t.symbol AND b.i = least(t.h + 6, b.n))"""
-_add("backtest_trades", lambda s, d: recurrences.trades(frame(s, d)).selectExpr("symbol", "entry_h", "exit_h", "round(entry, 6) AS entry", "round(exit, 6) AS exit_price", "round(gross, 6) AS gross", "round(net, 6) AS net", "bars"), f"WITH RECURSIVE {_LEDGER} SELECT symbol, entry_h, exit_h, round(entry, 6) AS entry, round(exit_, 6) AS exit_price, round(exit_ / entry - 1, 6) AS gross, round(exit_ / entry * 0.999 * 0.999 - 1, 6) AS net, bars FROM tr")
+def _ledger(exit_below: str = "NULL") -> str:
+    """The ledger as SQL: each signal's exit and the next signal after it first, then the chain of those taken."""
+    return f"""{HOURS}, {PREDICTIONS}, g AS (SELECT v.symbol, v.h, v.prob, c.open, c.close, row_number() OVER (PARTITION BY v.symbol ORDER BY v.h) AS i, count(*) OVER (PARTITION BY v.symbol) AS n FROM v JOIN c ON v.symbol = c.symbol AND v.h = c.h),
+    sx AS (SELECT g.symbol, g.i, least(g.i + 6, g.n) AS latest, min(e.i) AS low FROM g LEFT JOIN g e ON e.symbol = g.symbol AND e.i > g.i + 1 AND e.i <= g.i + 6 AND e.prob < {exit_below} WHERE g.prob >= 0.6 AND g.i < g.n GROUP BY ALL),
+    sig AS (SELECT symbol, i, coalesce(low, latest) AS x, low IS NOT NULL AS early FROM sx),
+    follow AS (SELECT a.symbol, a.i, min(b.i) AS after FROM sig a JOIN sig b ON b.symbol = a.symbol AND b.i > a.x GROUP BY ALL),
+    t AS (SELECT symbol, min(i) AS i FROM sig GROUP BY symbol UNION ALL SELECT f.symbol, f.after FROM t JOIN follow f ON f.symbol = t.symbol AND f.i = t.i),
+    tr AS (SELECT t.symbol, a.h AS entry_h, b.h AS exit_h, a.open AS raw_entry, b.close AS raw_exit, a.open * 1.0005 AS entry, b.close * 0.9995 AS exit_, b.i - a.i + 1 AS bars, s.early FROM t JOIN sig s ON s.symbol = t.symbol AND s.i = t.i JOIN g a ON a.symbol = t.symbol AND a.i = t.i + 1 JOIN g b ON b.symbol = t.symbol AND b.i = s.x),
+    tn AS (SELECT *, raw_exit / raw_entry - 1 AS gross, exit_ / entry * 0.999 * 0.999 - 1 AS net FROM tr)"""
+
+
+_TRADE = "round(raw_entry, 6) AS raw_entry, round(raw_exit, 6) AS raw_exit, round(gross, 6) AS gross, round(net, 6) AS net, bars, early"
+_add("backtest_trades", lambda s, d: recurrences.trades(frame(s, d)).selectExpr("symbol", "entry_h", "exit_h", "round(entry, 6) AS entry", "round(exit, 6) AS exit_price", "round(gross, 6) AS gross", "round(net, 6) AS net", "bars"), f"WITH RECURSIVE {_ledger()} SELECT symbol, entry_h, exit_h, round(entry, 6) AS entry, round(exit_, 6) AS exit_price, round(gross, 6) AS gross, round(net, 6) AS net, bars FROM tn")
+_add("backtest_trades_early_exit", lambda s, d: s.sql(f"SELECT symbol, entry_h, exit_h, {_TRADE} FROM {{t}}", t=recurrences.trades(frame(s, d), exit_below=0.45)), f"WITH RECURSIVE {_ledger('0.45')} SELECT symbol, entry_h, exit_h, {_TRADE} FROM tn")
 _METRICS = "count(*) AS n_trades, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(avg(net), 6) AS avg_net, round(PCT_[net; 0.5], 6) AS median_net, round(max(net), 6) AS best, round(min(net), 6) AS worst, round(sum(CASE WHEN net > 0 THEN net END) / nullif(-sum(CASE WHEN net < 0 THEN net END), 0), 6) AS profit_factor, round(avg(CASE WHEN net > 0 THEN net END) / nullif(-avg(CASE WHEN net < 0 THEN net END), 0), 6) AS payoff, round(avg(bars), 6) AS avg_bars, round(avg(gross - net) * 10000, 4) AS cost_bps"
-_add("backtest_metrics", lambda s, d: s.sql(in_spark(f"SELECT symbol, {_METRICS} FROM {{t}} GROUP BY symbol"), t=recurrences.trades(frame(s, d))), f"WITH RECURSIVE {_LEDGER}, tn AS (SELECT symbol, exit_ / entry - 1 AS gross, exit_ / entry * 0.999 * 0.999 - 1 AS net, bars FROM tr) SELECT symbol, {_METRICS} FROM tn GROUP BY symbol")
+_add("backtest_metrics", lambda s, d: s.sql(in_spark(f"SELECT symbol, {_METRICS} FROM {{t}} GROUP BY symbol"), t=recurrences.trades(frame(s, d))), f"WITH RECURSIVE {_ledger()} SELECT symbol, {_METRICS} FROM tn GROUP BY symbol")
+
+# equity by bar and the report; amounts are shown as logarithms, since the tables' prices jump and capital grows or shrinks by many powers of ten
+_CURVE_SQL = f"""{_ledger('0.45')}, pr AS (SELECT *, exit_ * 0.999 / (entry * 1.001) AS growth FROM tn),
+    pb AS (SELECT *, CAST(10000 AS DOUBLE) * coalesce(product(growth) OVER (PARTITION BY symbol ORDER BY entry_h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM pr),
+    pt AS (SELECT *, before * growth AS after, before / (entry * 1.001) AS units, before / (entry * 1.001) * (entry + exit_) * 0.001 AS fees, before / (entry * 1.001) * (entry - raw_entry + raw_exit - exit_) AS slippage, before * growth - before AS pnl FROM pb),
+    eq AS (SELECT g.symbol, g.h, g.close, CASE WHEN pt.entry_h IS NULL THEN 10000 WHEN g.h <= pt.exit_h THEN pt.units * g.close ELSE pt.after END AS equity, coalesce(g.h <= pt.exit_h, false) AS in_position FROM g ASOF LEFT JOIN pt ON g.symbol = pt.symbol AND g.h >= pt.entry_h)"""
+_AMOUNTS = ["final_capital", "total_pnl", "total_return", "cagr", "calmar", "fees_paid", "slippage_paid", "costs_paid", "costs_bps", "gross_profit", "gross_loss", "profit_factor", "excess_vs_buy_hold"]
+_SHARES = ["initial_capital", "max_drawdown", "volatility", "sharpe", "sortino", "buy_hold_return", "buy_hold_net", "time_in_market", "win_rate", "payoff_ratio", "avg_trade", "median_trade", "best_trade", "worst_trade", "avg_hold"]
+_REPORTED = ["symbol", "CAST(n_bars AS BIGINT) AS n_bars", "CAST(n_trades AS BIGINT) AS n_trades", "CAST(n_early AS BIGINT) AS n_early", *(f"round(sign({c}) * log10(1 + abs({c})), 6) AS {c}_log" for c in _AMOUNTS), *(f"round({c}, 6) AS {c}" for c in _SHARES)]
+_EQUITY = "symbol, h, round(log10(equity), 6) AS equity_log, in_position"
+
+
+def _backtest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bars = frame(spark, sf_dir)
+    ledger = backtest.priced(recurrences.trades(bars, exit_below=0.45))
+    return backtest.equity(bars, ledger), ledger
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, t = _backtest(spark, sf_dir)
+    c, ledger = spark.sql(in_spark(backtest.constants(backtest.CURVE)), e=e), spark.sql(in_spark(backtest.LEDGER), t=t)
+    return spark.sql(in_spark(backtest.constants(backtest.REPORT)), c=c, l=ledger).selectExpr(*_REPORTED)
+
+
+_add("backtest_equity", lambda s, d: s.sql(f"SELECT {_EQUITY} FROM {{e}}", e=_backtest(s, d)[0]), f"WITH RECURSIVE {_CURVE_SQL} SELECT {_EQUITY} FROM eq")
+_add("backtest_report", _report, f"WITH RECURSIVE {_CURVE_SQL}, cv AS ({backtest.constants(backtest.CURVE).replace('{e}', 'eq')}), ld AS ({backtest.LEDGER.replace('{t}', 'pt')}), rp AS ({backtest.constants(backtest.REPORT).replace('{c}', 'cv').replace('{l}', 'ld')}) SELECT {', '.join(_REPORTED)} FROM rp")
 # without state: every threshold's share of signals and mean return, and the choice with enough trades
 _CURVE = "SELECT t / 100.0 AS threshold, count(CASE WHEN prob >= t / 100.0 THEN 1 END) AS n, avg(CASE WHEN prob >= t / 100.0 THEN y END) AS r FROM (SELECT prob, y FROM v) x CROSS JOIN (SELECT 30 + 2 * k AS t FROM (SELECT SEQ_[CAST(0 AS BIGINT); CAST(28 AS BIGINT)] AS k) q) g GROUP BY t"
 
