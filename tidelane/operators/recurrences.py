@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def smooth(x: np.ndarray, alpha: float) -> np.ndarray:
@@ -65,20 +66,22 @@ def _price(x) -> bool:
     return x is not None and x == x and 0 < x < float("inf")
 
 
-def trades(table: DataFrame, threshold: float = 0.6, hold: int = 6, cost: float = 0.001, slip: float = 0.0005, exit_below: float | None = None) -> DataFrame:
+def trades(table: DataFrame, threshold: float | str = 0.6, hold: int = 6, cost: float = 0.001, slip: float = 0.0005, exit_below: float | None = None) -> DataFrame:
     """Trade ledger of (symbol, h, open, close, prob): a signal at row t enters at the open of t + 1 and leaves at the close of t + hold (or the last row), or
     earlier at the close of the first row after the entry's whose prob is under ``exit_below``. Signals count again after the row of the exit, so no trades overlap;
     one on the last row gives none, nor do prices that are null or not above 0. Null and NaN probs are no signal.
+    ``threshold`` is a number or the name of a column that holds one number by symbol.
 
     Returns symbol, entry_h, exit_h, raw_entry, raw_exit, entry and exit (with slippage), gross (of raw prices), net (after slippage and costs at both ends), bars and early.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("h")
+        least = g["threshold"].iloc[0]
         h, o, c, p = g["h"].tolist(), g["open"].tolist(), g["close"].tolist(), g["prob"].tolist()
         out, t = [], 0
         while t < len(h) - 1:
-            if p[t] is None or not p[t] >= threshold or not _price(o[t + 1]):
+            if p[t] is None or not p[t] >= least or not _price(o[t + 1]):
                 t += 1
                 continue
             a, b = t + 1, min(t + hold, len(h) - 1)
@@ -90,4 +93,5 @@ def trades(table: DataFrame, threshold: float = 0.6, hold: int = 6, cost: float
             t = b + 1
         return pd.DataFrame(out, columns=["symbol", "entry_h", "exit_h", "raw_entry", "raw_exit", "entry", "exit", "gross", "net", "bars", "early"])
 
-    return table.select("symbol", "h", "open", "close", "prob").groupBy("symbol").applyInPandas(run, "symbol string, entry_h long, exit_h long, raw_entry double, raw_exit double, entry double, exit double, gross double, net double, bars long, early boolean")
+    given = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+    return table.select("symbol", "h", "open", "close", "prob", given.alias("threshold")).groupBy("symbol").applyInPandas(run, "symbol string, entry_h long, exit_h long, raw_entry double, raw_exit double, entry double, exit double, gross double, net double, bars long, early boolean")

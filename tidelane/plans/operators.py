@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelane.functions.portable import digits
 from tidelane.functions.portable import duckdb as in_duckdb
 from tidelane.functions.portable import spark as in_spark
-from tidelane.operators import asof, backtest, bootstrap, features, models, recurrences
+from tidelane.operators import asof, backtest, bootstrap, features, models, recurrences, thresholds
 from tidelane.plans.catalog import HOURS, PREDICTIONS
 from tidelane.sources.candles import DAILY, HOURLY, HOURLY_ALL, daily, hourly, table
 from tidelane.streaming.candles import replay
@@ -168,16 +168,32 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("backtest_equity", lambda s, d: s.sql(f"SELECT {_EQUITY} FROM {{e}}", e=_backtest(s, d)[0]), f"WITH RECURSIVE {_CURVE_SQL} SELECT {_EQUITY} FROM eq")
 _add("backtest_report", _report, f"WITH RECURSIVE {_CURVE_SQL}, cv AS ({backtest.constants(backtest.CURVE).replace('{e}', 'eq')}), ld AS ({backtest.LEDGER.replace('{t}', 'pt')}), rp AS ({backtest.constants(backtest.REPORT).replace('{c}', 'cv').replace('{l}', 'ld')}) SELECT {', '.join(_REPORTED)} FROM rp")
-# without state: every threshold's share of signals and mean return, and the choice with enough trades
-_CURVE = "SELECT t / 100.0 AS threshold, count(CASE WHEN prob >= t / 100.0 THEN 1 END) AS n, avg(CASE WHEN prob >= t / 100.0 THEN y END) AS r FROM (SELECT prob, y FROM v) x CROSS JOIN (SELECT 30 + 2 * k AS t FROM (SELECT SEQ_[CAST(0 AS BIGINT); CAST(28 AS BIGINT)] AS k) q) g GROUP BY t"
 
+# thresholds by backtest, on the rows before the last 15 % of the hours; amounts as logarithms again
+_SPAN = "SELECT CAST(min(h) AS BIGINT) + CAST(floor((max(h) - min(h)) * CAST(0.85 AS DOUBLE)) AS BIGINT) - 6 AS last_h FROM"
 
-def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(in_spark(_CURVE.replace("FROM v)", "FROM {v})")), v=frame(spark, sf_dir))
 
-
-_add("threshold_curve", lambda s, d: _curve(s, d).selectExpr("threshold", "n", "round(r, 6) AS mean_return"), f"WITH {HOURS}, {PREDICTIONS}, cu AS ({_CURVE}) SELECT threshold, n, round(r, 6) AS mean_return FROM cu")
-_add("threshold_selection", lambda s, d: _curve(s, d).where("n >= 30").selectExpr("max_by(threshold, named_struct('r', r, 't', -threshold)) AS threshold", "round(max(r), 6) AS mean_return"), f"WITH {HOURS}, {PREDICTIONS}, cu AS ({_CURVE}) SELECT threshold, round(r, 6) AS mean_return FROM cu WHERE n >= 30 ORDER BY r DESC, threshold LIMIT 1")
+def _before_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = frame(spark, sf_dir)
+    return spark.sql(f"SELECT * FROM {{b}} WHERE h < ({_SPAN} {{b}})", b=bars)
+
+
+# each (symbol, part, threshold) is a series of its own
+_SERIES = f"""k AS (SELECT CAST(30 + 2 * i AS INTEGER) AS percent FROM range({len(thresholds.GRID)}) r(i)),
+    p0 AS (SELECT v.symbol AS name, v.h, v.prob, c.open, c.close, row_number() OVER (PARTITION BY v.symbol ORDER BY v.h) AS place, count(*) OVER (PARTITION BY v.symbol) AS many FROM v JOIN c ON v.symbol = c.symbol AND v.h = c.h WHERE v.h < ({_SPAN} v)),
+    p1 AS (SELECT p0.*, 'all' AS part FROM p0 UNION ALL SELECT p0.*, CASE WHEN place <= floor(many / 2) THEN 'first' ELSE 'second' END FROM p0),
+    g AS (SELECT name || '@' || part || '@' || percent AS symbol, name, part, percent, h, prob, open, close, percent / 100e0 AS threshold, row_number() OVER (PARTITION BY name, part, percent ORDER BY h) AS i, count(*) OVER (PARTITION BY name, part, percent) AS n FROM p1 CROSS JOIN k),"""
+_SERIES_SQL = f"""WITH RECURSIVE {_CURVE_SQL[: _CURVE_SQL.index(' g AS (')]} {_SERIES}
+    {_CURVE_SQL[_CURVE_SQL.index('sx AS ('):].replace('g.prob >= 0.6', 'g.prob >= g.threshold').replace('e.prob < 0.45', 'e.prob < NULL')},
+    cv AS ({backtest.constants(backtest.CURVE).replace('{e}', 'eq')}), ld AS ({backtest.LEDGER.replace('{t}', 'pt')}), rp AS ({backtest.constants(backtest.REPORT).replace('{c}', 'cv').replace('{l}', 'ld')}),
+    cu AS (SELECT n.name AS symbol, n.part, n.percent, rp.* EXCLUDE (symbol) FROM rp JOIN (SELECT DISTINCT symbol, name, part, percent FROM g) n ON n.symbol = rp.symbol)"""
+_RATED = ["symbol", "percent / CAST(100 AS DOUBLE) AS threshold", "CAST(n_trades AS BIGINT) AS n_trades", *(f"round(sign({c}) * log10(1 + abs({c})), 6) AS {c}_log" for c in ("total_return", "excess_vs_buy_hold", "profit_factor")), *(f"round({c}, 6) AS {c}" for c in ("win_rate", "sharpe", "sortino", "max_drawdown", "time_in_market"))]
+_CHOSEN = ["symbol", "threshold", "CAST(n_trades AS BIGINT) AS n_trades", "round(sign(objective) * log10(1 + abs(objective)), 6) AS objective_log", "enough_trades", "first_half", "second_half", "compared", "agrees"]
+_PLACED = "SELECT symbol, part, percent, n_trades, objective FROM (SELECT *, row_number() OVER (PARTITION BY symbol, part ORDER BY {order}) AS place FROM (SELECT *, excess_vs_buy_hold AS objective FROM cu) w WHERE {where}) q WHERE place = 1"
+_CHOICES = f"""{_SERIES_SQL}, chosen AS ({_PLACED.format(order=thresholds.choice(30), where="part = 'all'")}), halves AS ({_PLACED.format(order=thresholds.choice(10), where="part <> 'all' AND n_trades >= 10 AND excess_vs_buy_hold IS NOT NULL")}),
+    sizes AS (SELECT name AS symbol, count(*) AS n FROM p0 GROUP BY name), st AS ({thresholds.stability(30).replace('{chosen}', 'chosen').replace('{halves}', 'halves').replace('{sizes}', 'sizes')})"""
+_add("threshold_curve", lambda s, d: thresholds.curve(_before_test(s, d)).selectExpr(*_RATED), f"{_SERIES_SQL} SELECT {', '.join(_RATED)} FROM cu WHERE part = 'all'")
+_add("threshold_selection", lambda s, d: thresholds.select(_before_test(s, d)).selectExpr(*_CHOSEN), f"{_CHOICES} SELECT {', '.join(_CHOSEN)} FROM st")
 
 # --- resampling, models, streams -----------------------------------------------------------------------------
 _add("bootstrap_block_auc", lambda s, d: bootstrap.paired_block_auc(frame(s, d), "mom", "prob", blocks=24, resamples=1000))
