@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelane.functions.portable import digits
 from tidelane.functions.portable import duckdb as in_duckdb
 from tidelane.functions.portable import spark as in_spark
-from tidelane.operators import asof, backtest, bootstrap, features, models, recurrences, thresholds
+from tidelane.operators import asof, backtest, bootstrap, classifiers, features, models, recurrences, thresholds
 from tidelane.plans.catalog import HOURS, PREDICTIONS
 from tidelane.sources.candles import DAILY, HOURLY, HOURLY_ALL, daily, hourly, table
 from tidelane.streaming.candles import replay
@@ -126,12 +126,16 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p
 
 
-def _ledger(exit_below: str = "NULL") -> str:
+def _ledger(exit_below: str | None = None) -> str:
     """The ledger as SQL: each signal's exit and the next signal after it first, then the chain of those taken."""
+    low = "CAST(NULL AS BIGINT) AS low FROM g"
+    if exit_below:
+        low = f"min(e.i) AS low FROM g LEFT JOIN g e ON e.symbol = g.symbol AND e.i > g.i + 1 AND e.i <= g.i + 6 AND e.prob < {exit_below}"
     return f"""{HOURS}, {PREDICTIONS}, g AS (SELECT v.symbol, v.h, v.prob, c.open, c.close, row_number() OVER (PARTITION BY v.symbol ORDER BY v.h) AS i, count(*) OVER (PARTITION BY v.symbol) AS n FROM v JOIN c ON v.symbol = c.symbol AND v.h = c.h),
-    sx AS (SELECT g.symbol, g.i, least(g.i + 6, g.n) AS latest, min(e.i) AS low FROM g LEFT JOIN g e ON e.symbol = g.symbol AND e.i > g.i + 1 AND e.i <= g.i + 6 AND e.prob < {exit_below} WHERE g.prob >= 0.6 AND g.i < g.n GROUP BY ALL),
+    sx AS (SELECT g.symbol, g.i, least(g.i + 6, g.n) AS latest, {low} WHERE g.prob >= 0.6 AND g.i < g.n GROUP BY ALL),
     sig AS (SELECT symbol, i, coalesce(low, latest) AS x, low IS NOT NULL AS early FROM sx),
-    follow AS (SELECT a.symbol, a.i, min(b.i) AS after FROM sig a JOIN sig b ON b.symbol = a.symbol AND b.i > a.x GROUP BY ALL),
+    nx AS (SELECT g.symbol, g.i, min(s.i) OVER (PARTITION BY g.symbol ORDER BY g.i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM g LEFT JOIN sig s ON s.symbol = g.symbol AND s.i = g.i),
+    follow AS (SELECT a.symbol, a.i, b.after FROM sig a JOIN nx b ON b.symbol = a.symbol AND b.i = a.x WHERE b.after IS NOT NULL),
     t AS (SELECT symbol, min(i) AS i FROM sig GROUP BY symbol UNION ALL SELECT f.symbol, f.after FROM t JOIN follow f ON f.symbol = t.symbol AND f.i = t.i),
     tr AS (SELECT t.symbol, a.h AS entry_h, b.h AS exit_h, a.open AS raw_entry, b.close AS raw_exit, a.open * 1.0005 AS entry, b.close * 0.9995 AS exit_, b.i - a.i + 1 AS bars, s.early FROM t JOIN sig s ON s.symbol = t.symbol AND s.i = t.i JOIN g a ON a.symbol = t.symbol AND a.i = t.i + 1 JOIN g b ON b.symbol = t.symbol AND b.i = s.x),
     tn AS (SELECT *, raw_exit / raw_entry - 1 AS gross, exit_ / entry * 0.999 * 0.999 - 1 AS net FROM tr)"""
@@ -144,10 +148,11 @@ _METRICS = "count(*) AS n_trades, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0
 _add("backtest_metrics", lambda s, d: s.sql(in_spark(f"SELECT symbol, {_METRICS} FROM {{t}} GROUP BY symbol"), t=recurrences.trades(frame(s, d))), f"WITH RECURSIVE {_ledger()} SELECT symbol, {_METRICS} FROM tn GROUP BY symbol")
 
 # equity by bar and the report; amounts are shown as logarithms, since the tables' prices jump and capital grows or shrinks by many powers of ten
-_CURVE_SQL = f"""{_ledger('0.45')}, pr AS (SELECT *, exit_ * 0.999 / (entry * 1.001) AS growth FROM tn),
+_EQUITY_SQL = """pr AS (SELECT *, exit_ * 0.999 / (entry * 1.001) AS growth FROM tn),
     pb AS (SELECT *, CAST(10000 AS DOUBLE) * coalesce(product(growth) OVER (PARTITION BY symbol ORDER BY entry_h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM pr),
     pt AS (SELECT *, before * growth AS after, before / (entry * 1.001) AS units, before / (entry * 1.001) * (entry + exit_) * 0.001 AS fees, before / (entry * 1.001) * (entry - raw_entry + raw_exit - exit_) AS slippage, before * growth - before AS pnl FROM pb),
     eq AS (SELECT g.symbol, g.h, g.close, CASE WHEN pt.entry_h IS NULL THEN 10000 WHEN g.h <= pt.exit_h THEN pt.units * g.close ELSE pt.after END AS equity, coalesce(g.h <= pt.exit_h, false) AS in_position FROM g ASOF LEFT JOIN pt ON g.symbol = pt.symbol AND g.h >= pt.entry_h)"""
+_CURVE_SQL = f"{_ledger('0.45')}, {_EQUITY_SQL}"
 _AMOUNTS = ["final_capital", "total_pnl", "total_return", "cagr", "calmar", "fees_paid", "slippage_paid", "costs_paid", "costs_bps", "gross_profit", "gross_loss", "profit_factor", "excess_vs_buy_hold"]
 _SHARES = ["initial_capital", "max_drawdown", "volatility", "sharpe", "sortino", "buy_hold_return", "buy_hold_net", "time_in_market", "win_rate", "payoff_ratio", "avg_trade", "median_trade", "best_trade", "worst_trade", "avg_hold"]
 _REPORTED = ["symbol", "CAST(n_bars AS BIGINT) AS n_bars", "CAST(n_trades AS BIGINT) AS n_trades", "CAST(n_early AS BIGINT) AS n_early", *(f"round(sign({c}) * log10(1 + abs({c})), 6) AS {c}_log" for c in _AMOUNTS), *(f"round({c}, 6) AS {c}" for c in _SHARES)]
@@ -183,8 +188,9 @@ _SERIES = f"""k AS (SELECT CAST(30 + 2 * i AS INTEGER) AS percent FROM range({le
     p0 AS (SELECT v.symbol AS name, v.h, v.prob, c.open, c.close, row_number() OVER (PARTITION BY v.symbol ORDER BY v.h) AS place, count(*) OVER (PARTITION BY v.symbol) AS many FROM v JOIN c ON v.symbol = c.symbol AND v.h = c.h WHERE v.h < ({_SPAN} v)),
     p1 AS (SELECT p0.*, 'all' AS part FROM p0 UNION ALL SELECT p0.*, CASE WHEN place <= floor(many / 2) THEN 'first' ELSE 'second' END FROM p0),
     g AS (SELECT name || '@' || part || '@' || percent AS symbol, name, part, percent, h, prob, open, close, percent / 100e0 AS threshold, row_number() OVER (PARTITION BY name, part, percent ORDER BY h) AS i, count(*) OVER (PARTITION BY name, part, percent) AS n FROM p1 CROSS JOIN k),"""
-_SERIES_SQL = f"""WITH RECURSIVE {_CURVE_SQL[: _CURVE_SQL.index(' g AS (')]} {_SERIES}
-    {_CURVE_SQL[_CURVE_SQL.index('sx AS ('):].replace('g.prob >= 0.6', 'g.prob >= g.threshold').replace('e.prob < 0.45', 'e.prob < NULL')},
+_LEDGER_SQL = _ledger()
+_SERIES_SQL = f"""WITH RECURSIVE {_LEDGER_SQL[: _LEDGER_SQL.index(' g AS (')]} {_SERIES}
+    {_LEDGER_SQL[_LEDGER_SQL.index('sx AS ('):].replace('g.prob >= 0.6', 'g.prob >= g.threshold')}, {_EQUITY_SQL},
     cv AS ({backtest.constants(backtest.CURVE).replace('{e}', 'eq')}), ld AS ({backtest.LEDGER.replace('{t}', 'pt')}), rp AS ({backtest.constants(backtest.REPORT).replace('{c}', 'cv').replace('{l}', 'ld')}),
     cu AS (SELECT n.name AS symbol, n.part, n.percent, rp.* EXCLUDE (symbol) FROM rp JOIN (SELECT DISTINCT symbol, name, part, percent FROM g) n ON n.symbol = rp.symbol)"""
 _RATED = ["symbol", "percent / CAST(100 AS DOUBLE) AS threshold", "CAST(n_trades AS BIGINT) AS n_trades", *(f"round(sign({c}) * log10(1 + abs({c})), 6) AS {c}_log" for c in ("total_return", "excess_vs_buy_hold", "profit_factor")), *(f"round({c}, 6) AS {c}" for c in ("win_rate", "sharpe", "sortino", "max_drawdown", "time_in_market"))]
@@ -195,6 +201,15 @@ _CHOICES = f"""{_SERIES_SQL}, chosen AS ({_PLACED.format(order=thresholds.choice
 _add("threshold_curve", lambda s, d: thresholds.curve(_before_test(s, d)).selectExpr(*_RATED), f"{_SERIES_SQL} SELECT {', '.join(_RATED)} FROM cu WHERE part = 'all'")
 _add("threshold_selection", lambda s, d: thresholds.select(_before_test(s, d)).selectExpr(*_CHOSEN), f"{_CHOICES} SELECT {', '.join(_CHOSEN)} FROM st")
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.split(frame(spark, sf_dir))[0].where("label IS NOT NULL")
+
+
+def _calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability, on the test rows, of probabilities calibrated on the training rows."""
+    return classifiers.reliability(classifiers.calibrated(_labelled(spark, sf_dir), ["mom", "prob", "r1"])(models.split(frame(spark, sf_dir))[2]))
+
+
 # --- resampling, models, streams -----------------------------------------------------------------------------
 _add("bootstrap_block_auc", lambda s, d: bootstrap.paired_block_auc(frame(s, d), "mom", "prob", blocks=24, resamples=1000))
 _add("bootstrap_sharpe", lambda s, d: bootstrap.stationary_sharpe(frame(s, d).selectExpr("symbol", "h", "greatest(least(r1, 0.5), -0.5) * 0.01 AS net"), resamples=1000))
@@ -204,4 +219,7 @@ _add("model_importance_top_k", lambda s, d: models.gain_importance(frame(s, d),
 _add("model_per_asset_vs_global", lambda s, d: models.per_asset(frame(s, d), ["mom", "prob", "r1"]))
 _add("model_permutation_importance", lambda s, d: models.permutation_importance(frame(s, d), ["mom", "prob", "r1"]))
 _add("model_ablation", lambda s, d: models.ablation(frame(s, d), {"trend": ["mom"], "flow": ["prob", "r1"]}))
+_add("model_classifiers", lambda s, d: classifiers.select(frame(s, d), ["mom", "prob", "r1"]))
+_add("model_calibrated", lambda s, d: _calibrated(s, d))
+_add("model_latest", lambda s, d: classifiers.latest(classifiers.pipeline("logistic", ["mom", "prob", "r1"]).fit(_labelled(s, d)), frame(s, d)))
 _add("streaming_candles", lambda s, d: replay(s, d).selectExpr("symbol", "h", "trades", "round(high, 6) AS high", "round(low, 6) AS low", "round(volume, 6) AS volume"), f"WITH {HOURS} SELECT symbol, h, CAST(trades AS BIGINT) AS trades, round(high, 6) AS high, round(low, 6) AS low, round(volume, 6) AS volume FROM c")
