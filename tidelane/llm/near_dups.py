@@ -32,6 +32,8 @@ from tidelane.llm.textcore import LOWER, SPACES, U64, as_int64, buffers, chunks,
 BINS, BANDS, ROWS = 128, 32, 4
 #: Bins that agree at least, of 128, for a pair to go on to whole sets: at similarity 0.8 about 102 are expected and fewer than 79 have probability below 1e-6.
 AGREE = 79
+#: Bytes of text taken apart at a time.
+SLICE = 1 << 20
 #: Members of a family that one task holds of each side.
 TILE = 8192
 _SOURCES = np.stack([(mix(np.arange(BINS, dtype=U64) * U64(1_000_003) + U64(k + 1)) % U64(BINS)).astype(np.int64) for k in range(64)])
@@ -92,7 +94,7 @@ def _signatures(shingle: int, carried: list[str]):
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
             size, key, bands, sketch = [], [], [], []
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, SLICE):
                 sets = document_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
                 size += [len(s) for s in sets]
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -248,9 +250,10 @@ def _sets(shingle: int):
     def run(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
-            sets = [s for a, b in chunks(offsets) for s in document_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)]
-            where = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(where), pa.array(as_int64(np.concatenate(sets)) if sets else [], pa.int64()))], names=["key", "items"])
+            for a, b in chunks(offsets, SLICE):
+                sets = document_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
+                where = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.ListArray.from_arrays(pa.array(where), pa.array(as_int64(np.concatenate(sets)), pa.int64()))], names=["key", "items"])
 
     return run
 

@@ -21,6 +21,9 @@ from tidelane.llm.textcore import LOWER, SPACES, buffers, chunks, runs, word_cod
 
 STATISTICS = ["n_words", "mean_word", "longest_word", "upper", "lower", "digit", "symbol", "stop", "bang", "bar", "non_ascii", "newline", "distinct", "top_word", "distinct_pairs", "n_lines", "distinct_lines", "mean_line", "symbol_ends", "upper_words"]
 
+#: Bytes of text counted at a time.
+SLICE = 1 << 20
+
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
 _KINDS = {
@@ -101,7 +104,7 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
-            got = [_slice(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
+            got = [_slice(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets, SLICE)]
             x = np.round(np.concatenate(got), 9) if got else np.zeros((0, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), *(pa.array(x[:, i].copy()) for i in range(x.shape[1]))], names=["doc_id", *keep, *STATISTICS])
 
@@ -188,11 +191,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, penalty: float = 2e
 
 
 def compiled(rules: list[tuple[Rule, float]], intercept: float) -> Column:
-    """The probability as a column over STATISTICS."""
-    total = F.lit(intercept)
-    for rule, weight in rules:
-        total = total + F.when(rule.column(), weight).otherwise(0.0)
-    return 1 / (1 + F.exp(-total))
+    """The probability as a column over STATISTICS. Weights are summed in a balanced tree: a chain of some hundred sums overflows the stack of Spark's parser and optimiser."""
+    terms = [F.lit(intercept), *(F.when(rule.column(), weight).otherwise(0.0) for rule, weight in rules)]
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) // 2 * 2 :]
+    return 1 / (1 + F.exp(-terms[0]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, rows: int = FIT_ROWS, keep: tuple[str, ...] = (), learn_from: DataFrame | None = None) -> DataFrame:

@@ -173,6 +173,8 @@ def features(text: np.ndarray, bounds: np.ndarray, lexicon: Lexicon) -> np.ndarr
     return np.hstack([every + SHARE * (asserted + aimed), asserted + SHARE * aimed, aimed])
 
 
+#: Bytes of text matched at a time.
+SLICE = 1 << 20
 #: Share of a tier's value that the tiers that hold it take on.
 SHARE = 0.25
 
@@ -231,7 +233,7 @@ def _features(lexicon: Lexicon, keep: list[str]):
     def run(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
-            got = [features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lexicon) for a, b in chunks(offsets)]
+            got = [features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lexicon) for a, b in chunks(offsets, SLICE)]
             x = np.concatenate(got) if got else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x[:, i].copy()) for i in range(len(FEATURES)))], names=[*keep, *FEATURES])
 
@@ -265,7 +267,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     def run(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
-            p = [sigmoid(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lexicon) @ w + b0) for a, b in chunks(offsets)]
+            p = [sigmoid(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lexicon) @ w + b0) for a, b in chunks(offsets, SLICE)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), pa.array(np.concatenate(p) if p else [], pa.float64())], names=["doc_id", *keep, "score"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *dict.fromkeys([*keep, "text"]))
