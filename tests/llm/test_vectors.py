@@ -146,3 +146,32 @@ def test_search_ties_and_repeated_ids(spark):
     rows = [(i, [1.0, float(i % 3)], 0) for i in range(30)] + [(5, [9.0, 9.0], 0), (None, [50.0, 50.0], 0)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") == 0, k=29).orderBy("rank").collect()
     assert len(got) == 29 and [(r["rank"], r.vec_id, r.score) for r in got[:4]] == [(1, 5, 9.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)]
+
+
+def test_search_in_blocks_of_queries(spark, rows, table, monkeypatch):
+    plain = sorted(map(tuple, ann.search(table, F.col("vec_id") % 20 == 0).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    assert sorted(map(tuple, ann.search(table, F.col("vec_id") % 20 == 0).collect())) == plain
+    rare = ann.search(spark.createDataFrame([r for r in rows if r[0] < 15], "vec_id long, embedding array<double>, label int"), F.col("vec_id") >= 0, k=20)
+    assert {r["count"] for r in rare.groupBy("query_id").count().collect()} == {14} and rare.count() == 15 * 14
+
+
+def test_what_queries_are_sent_to_grows_slowly():
+    # 615,000 rows of 64 components, 30,750 queries: under 20 groups instead of 151; a group meets a bounded number of queries and rows
+    unit, groups, blocks = ann.grid(615_000, 30_750, 64)
+    assert groups < 20 and blocks == 1 and unit * 64 * 8 <= 16 << 20
+    unit, groups, blocks = ann.grid(15_000_000, 750_000, 64)
+    assert 750_000 / blocks <= ann.BLOCK and 15_000_000 / groups <= unit
+
+
+def test_queries_that_found_too_few_rows_are_compared_with_all(spark, rows, table, monkeypatch):
+    ok = {i: np.array(v) for i, v, _ in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(v)}
+    ids, m = np.array(list(ok)), np.stack(list(ok.values()))
+    monkeypatch.setattr(ann, "SUCCESS", (1e-9, 1e-9))
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0, k=900).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == sum(i % 20 == 0 for i in ok)
+    for i, found in got.items():
+        s = (m * ok[i]).sum(1)
+        assert found == [ids[j] for j in np.lexsort((ids, -s)) if ids[j] != i][:900]

@@ -11,7 +11,7 @@ all buckets). A shell that cannot hold such a product is left out. The
 tables' candidates are merged and ranked exactly, on the original vectors.
 
 How many tables, projections and which width to use is chosen on the sample, by the fewest rows compared (``choose``). Rows are dealt
-out by table and bucket, and queries go where a bucket they visit may be; a bucket of more than ``UNIT`` rows is split.
+out by table and bucket, and queries go where a bucket they visit may be; a bucket of more than a unit of rows is split.
 """
 
 from __future__ import annotations
@@ -30,8 +30,11 @@ from tidelane.llm.vectors import common_dim, usable
 #: Chance to aim at that a neighbour is among the candidates; the later ones for queries that found fewer than k rows.
 SUCCESS = (0.94, 0.999)
 CELLS, SHELLS, STEPS, DRAWS = 8, 64, 4, 256
-#: Rows of a bucket that stay together. Beyond ``HOT`` * ``UNIT`` rows in a table it is one row in ``HOT``, so that the list of split buckets is bounded.
-UNIT, HOT = 4096, 65_536
+#: Components of the rows that stay together (16 MB), of ``LEAST`` rows or more. Queries are sent to each group of rows they visit, so what is
+#: shuffled grows with rows * queries / this. Beyond ``HOT`` such units in a table it is one row in ``HOT``, so that the list of split buckets is bounded.
+UNIT, LEAST, HOT = 1 << 21, 4096, 65_536
+#: Queries that a group of rows meets at a time: with more, rows are dealt once for each block of queries.
+BLOCK = 65_536
 #: Rows that neighbours' products and the plan are estimated on at most, and queries tried for the plan.
 SAMPLE, TRIED = 8000, 48
 #: Tables, projections and width tried.
@@ -165,8 +168,18 @@ def choose(sample: np.ndarray, norm: float, rank: int) -> tuple[Index, float]:
     return best[1], float(best[2])
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, dim)
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors (little-endian doubles, none null) as rows, without a copy of a single chunk."""
+    parts = [c for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]) if len(c)]
+    views = [np.frombuffer(c.buffers()[2], np.uint8)[np.frombuffer(c.buffers()[1], np.int32)[c.offset] :][: len(c) * dim * 8] for c in parts]
+    one = views[0] if len(views) == 1 else np.concatenate(views) if views else np.zeros(0, np.uint8)
+    return np.frombuffer(one.tobytes() if one.ctypes.data % 8 else one.data).reshape(-1, dim)
+
+
+def grid(n: int, asks: int, dim: int) -> tuple[int, int, int]:
+    """Rows of a unit, groups of rows in a table, and blocks of queries."""
+    unit = max(LEAST, UNIT // dim)
+    return max(unit, n // HOT), max(16, -(-n // unit)), max(1, -(-asks // BLOCK))
 
 
 def _group(table: int, bucket: np.ndarray, salt: np.ndarray, groups: int) -> np.ndarray:
@@ -193,12 +206,11 @@ def search_with_share(table: DataFrame, queries: Column, k: int = 20) -> tuple[D
     if not dim:
         return spark.createDataFrame([], out), 0.0
     base = base.where(F.col("dim") == dim)
-    n, norm, sample = _shape(base, dim)
+    n, n_asks, norm, sample = _shape(base, dim)
     if n < 2:
         return spark.createDataFrame([], out), 0.0
     index, share = choose(sample, norm, like_rank(k, n, len(sample)))
-    groups = max(16, -(-n // UNIT))
-    unit = max(UNIT, n // HOT)
+    unit, groups, blocks = grid(n, n_asks, dim)
     digits = CELLS**index.projections
     span = digits * SHELLS
 
@@ -228,7 +240,9 @@ def search_with_share(table: DataFrame, queries: Column, k: int = 20) -> tuple[D
             b = index.buckets(_matrix(batch.column("vec"), dim))[1]
             for t in range(index.tables):
                 salt = (mix(ids.astype(U64)) % split(t, b[:, t]).astype(U64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_group(t, b[:, t], salt, groups)), batch.column("vec_id"), batch.column("vec"), pa.array(b[:, t].copy())], names=["part", "vec_id", "vec", "bucket"])
+                part = _group(t, b[:, t], salt, groups).astype(np.int64) * blocks
+                for block in range(blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array(part + block), batch.column("vec_id"), batch.column("vec"), pa.array(b[:, t].copy())], names=["part", "vec_id", "vec", "bucket"])
 
     def asked(success: float):
         def run(batches):
@@ -238,14 +252,14 @@ def search_with_share(table: DataFrame, queries: Column, k: int = 20) -> tuple[D
                     ids, vecs = part.column("query_id").to_pylist(), part.column("vec").to_pylist()
                     q = _matrix(part.column("vec"), dim)
                     product = index.products(q)
-                    least = np.full((len(q), SHELLS, index.tables), np.inf)
+                    least = np.full((len(q), len(shells), index.tables), np.inf)
                     where = [[] for _ in ids]
-                    for s in shells:
+                    for j, s in enumerate(shells):
                         able, chance, last = index.chances(q, product, s, success)
-                        least[able, s] = last[able]
+                        least[able, j] = last[able]
                         for i in np.flatnonzero(able).tolist():
                             for t in range(index.tables):
-                                codes = index.probe(chance[i, t], least[i, s, t], 4 * groups + 4096)
+                                codes = index.probe(chance[i, t], least[i, j, t], 4 * groups + 4096)
                                 if codes is None:
                                     where[i].append(np.arange(t * groups, (t + 1) * groups, dtype=np.int32))
                                     continue
@@ -254,7 +268,7 @@ def search_with_share(table: DataFrame, queries: Column, k: int = 20) -> tuple[D
                                 salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                                 where[i].append(np.unique(_group(t, np.repeat(visit, times), salt, groups)))
                     for i, found in enumerate(where):
-                        to = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+                        to = (np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)).astype(np.int64) * blocks + int(mix(np.array([ids[i]]).astype(U64))[0] % U64(blocks))
                         m = len(to)
                         yield pa.RecordBatch.from_arrays([pa.array(to), pa.array([ids[i]] * m, pa.int64()), pa.array([vecs[i]] * m, pa.binary()), pa.array([least[i].tobytes()] * m, pa.binary()), pa.array(np.full(m, product[i]))], names=["part", "query_id", "vec", "least", "product"])
 
@@ -263,7 +277,7 @@ def search_with_share(table: DataFrame, queries: Column, k: int = 20) -> tuple[D
     def ranked(key, rows: pa.Table, asks: pa.Table) -> pa.Table:
         found = []
         if rows.num_rows and asks.num_rows:
-            t = key[0].as_py() // groups
+            t = key[0].as_py() // blocks // groups
             m, ids = _matrix(rows.column("vec"), dim), rows.column("vec_id").to_numpy()
             buckets, at = np.unique(rows.column("bucket").to_numpy(), return_inverse=True)
             shell, codes = buckets // digits, buckets % digits
@@ -272,11 +286,11 @@ def search_with_share(table: DataFrame, queries: Column, k: int = 20) -> tuple[D
                 q, product = _matrix(part.column("vec"), dim), part.column("product").to_numpy()
                 visit = np.ones((len(q), len(buckets)), bool)
                 if part.column("least").null_count == 0:
-                    least = np.frombuffer(b"".join(part.column("least").to_pylist())).reshape(len(q), SHELLS, index.tables)
+                    least = np.frombuffer(b"".join(part.column("least").to_pylist())).reshape(len(q), len(shells), index.tables)
                     for s in np.unique(shell).tolist():
                         mine = shell == s
                         _, chance, _ = index.chances(q, product, s)
-                        visit[:, mine] = index.visited(chance[:, t], least[:, s, t], codes[mine])
+                        visit[:, mine] = index.visited(chance[:, t], least[:, shells.index(s), t], codes[mine])
                 rough = q @ m.T if visit.mean() > 0.02 else None
                 for i, ask in enumerate(part.column("query_id").to_pylist()):
                     mine = np.flatnonzero(visit[i][at] & (ids != ask))
@@ -306,15 +320,14 @@ def search_with_share(table: DataFrame, queries: Column, k: int = 20) -> tuple[D
         ok = rank <= k
         yield pa.RecordBatch.from_arrays([pa.array(asks[ok]), pa.array(rank[ok].astype(np.int32)), pa.array(ids[ok]), pa.array(scores[ok])], names=["query_id", "rank", "vec_id", "score"])
 
-    rows = base.select("vec_id", "vec").mapInArrow(dealt, "part int, vec_id long, vec binary, bucket long")
+    rows = base.select("vec_id", "vec").mapInArrow(dealt, "part long, vec_id long, vec binary, bucket long")
     todo = base.where("asks").select(F.col("vec_id").alias("query_id"), "vec")
-    ask = "part int, query_id long, vec binary, least binary, product double"
+    ask = "part long, query_id long, vec binary, least binary, product double"
     done = None
     # a query whose buckets hold fewer rows than there are to find visits more, at last all of one table
     for success in (*SUCCESS, None):
         if success is None:
-            every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-            asks = todo.select(every.cast("int").alias("part"), "query_id", "vec", F.lit(None).cast("binary").alias("least"), F.lit(0.0).alias("product"))
+            asks = todo.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")).select((F.col("group").cast("long") * blocks + F.pmod(F.xxhash64("query_id"), F.lit(blocks))).alias("part"), "query_id", "vec", F.lit(None).cast("binary").alias("least"), F.lit(0.0).alias("product"))
         else:
             asks = todo.mapInArrow(asked(success), ask)
         near = rows.groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(ranked, "query_id long, ids binary, scores binary")
@@ -341,8 +354,8 @@ def top(m: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, mine: np.ndarray,
     return ids[mine][order], score[order]
 
 
-def _shape(base: DataFrame, dim: int) -> tuple[int, float, np.ndarray]:
-    """Row count, largest norm, and a sample of at most 2 * ``SAMPLE`` rows."""
+def _shape(base: DataFrame, dim: int) -> tuple[int, int, float, np.ndarray]:
+    """Row count, number of queries, largest norm, and a sample of at most 2 * ``SAMPLE`` rows."""
 
     def norms(batches):
         for batch in batches:
@@ -351,9 +364,10 @@ def _shape(base: DataFrame, dim: int) -> tuple[int, float, np.ndarray]:
 
     row = base.select("vec").mapInArrow(norms, "norm double").agg(F.count("*"), F.max("norm")).first()
     n, norm = int(row[0]), float(row[1])
+    asks = base.where("asks").count()
     rate = min(1.0, SAMPLE / n)
     picked = base.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("vec").orderBy("vec").limit(2 * SAMPLE).collect()
     sample = np.frombuffer(b"".join(bytes(r.vec) for r in picked)).reshape(-1, dim)
     if not len(sample):
         sample = np.frombuffer(bytes(base.select("vec").first().vec)).reshape(1, dim)
-    return n, norm, sample
+    return n, asks, norm, sample
