@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.operators import ensembles
+
 KINDS = ("ridge", "random_forest", "boosted")
 #: 300 trees or rounds each; a forest's trees are as deep as Spark ML allows.
 ESTIMATORS = {
@@ -23,6 +27,8 @@ ESTIMATORS = {
 GRIDS = {"ridge": [{"alpha": 1.0}, {"alpha": 10.0}, {"alpha": 100.0}], "random_forest": [{}], "boosted": [{"maxDepth": 3}, {"maxDepth": 5}]}
 #: Fits that run at a time; each is a chain of small jobs.
 AT_ONCE = 8
+#: Rows up to which each ensemble of trees is grown inside one task, all of a query's side by side; larger tables are fitted by Spark ML.
+IN_TASK = 1_000_000
 
 
 def pipeline(kind: str, columns: list[str], **params) -> Pipeline:
@@ -42,22 +48,73 @@ def _at_once(work, jobs: list) -> list:
         return pool.map(work, jobs, chunksize=1)
 
 
-def tuned(train: DataFrame, validation: DataFrame, columns: list[str], kinds: tuple[str, ...]) -> dict:
-    """kind: (least validation error, its parameters, the model fitted on train), of each kind's grid; ties go to the first."""
+@dataclass
+class Job:
+    """A fit of one entry of ``GRIDS`` on the rows ``train``, and the rows ``test`` (others than those) to score."""
+
+    kind: str
+    params: dict
+    columns: list[str]
+    train: Column
+    test: Column
+
+
+def scores(table: DataFrame, jobs: list[Job]) -> DataFrame:
+    """job (its place), symbol, h, y and prediction of each job's test rows."""
+    shown = ["job", "symbol", "h", "y", "prediction"]
+    inside = [i for i, j in enumerate(jobs) if j.kind != "ridge"] if table.count() <= IN_TASK else []
+
+    def apart(i: int) -> DataFrame:
+        j = jobs[i]
+        return fit(j.kind, j.columns, table.where(j.train), j.params).transform(table.where(j.test)).select(F.lit(i).alias("job"), *shown[1:])
+
+    parts = _at_once(apart, [i for i in range(len(jobs)) if i not in inside])
+    if inside:
+        plans = {i: (ensembles.plan(ESTIMATORS[jobs[i].kind](**jobs[i].params)), jobs[i].columns) for i in inside}
+        columns = sorted({c for i in inside for c in jobs[i].columns})
+
+        def grown(pdf: pd.DataFrame) -> pd.DataFrame:
+            plan, own = plans[int(pdf["job"].iloc[0])]
+            pdf = pdf.sort_values(["symbol", "h", "y", *columns])
+            train, test = pdf[~pdf["scored"]], pdf[pdf["scored"]]
+            if len(train) and len(test):
+                told = ensembles.predict(plan, train[own].to_numpy(float), train["y"].to_numpy(float), test[own].to_numpy(float))
+            else:
+                told = [float("nan")] * len(test)
+            return test[["job", "symbol", "h", "y"]].assign(prediction=told)
+
+        roles = [F.when(jobs[i].train, F.struct(F.lit(i).alias("job"), F.lit(False).alias("scored"))).when(jobs[i].test, F.struct(F.lit(i).alias("job"), F.lit(True).alias("scored"))) for i in inside]
+        dealt = table.withColumn("role", F.explode(F.array_compact(F.array(*roles)))).select("role.*", "symbol", "h", "y", *columns)
+        kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+        parts.append(dealt.repartitionByRange(len(inside), "job").groupBy("job").applyInPandas(grown, f"job int, symbol {kinds['symbol']}, h {kinds['h']}, y double, prediction double"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.persist()
 
-    def one(job):
-        fitted = fit(job[0], columns, train, job[1])
-        return job[0], _rmse(fitted.transform(validation)), job[1], fitted
 
-    tried = _at_once(one, [(k, p) for k in kinds for p in GRIDS[k]])
-    return {k: min((t[1:] for t in tried if t[0] == k), key=lambda t: t[0]) for k in kinds}
+def errors(scored: DataFrame, *by: str) -> dict:
+    """(job, by): (rows, root mean squared error)."""
+    found = scored.groupBy("job", *by).agg(F.count("*").alias("n"), F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)).alias("e")).collect()
+    return {tuple(r)[:-2]: (r.n, r.e) for r in found}
 
 
-def split(table: DataFrame, purge: int = 6, shares: tuple[float, float] = (0.7, 0.15)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chronological train, validation and test by time, the rows whose labels reach the next part left out."""
+def least(jobs: list[Job], found: dict, kind: str, of: range) -> int:
+    """The job of the kind with the least error; ties go to the first."""
+    return min((i for i in of if jobs[i].kind == kind), key=lambda i: (found[i,][1], i))
+
+
+def spans(table: DataFrame, purge: int = 6, shares: tuple[float, float] = (0.7, 0.15)) -> tuple[Column, Column, Column]:
+    """Conditions of chronological train, validation and test rows by time, the rows whose labels reach the next part left out."""
     lo, hi = table.agg(F.min("h"), F.max("h")).first()
     a, b = lo + int((hi - lo) * shares[0]), lo + int((hi - lo) * sum(shares))
-    return table.where(F.col("h") < a - purge), table.where((F.col("h") >= a) & (F.col("h") < b - purge)), table.where(F.col("h") >= b)
+    return F.col("h") < a - purge, (F.col("h") >= a) & (F.col("h") < b - purge), F.col("h") >= b
+
+
+def split(table: DataFrame, purge: int = 6, shares: tuple[float, float] = (0.7, 0.15)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``spans``."""
+    train, validation, test = spans(table, purge, shares)
+    return table.where(train), table.where(validation), table.where(test)
 
 
 def _rmse(scored: DataFrame) -> float:
@@ -66,11 +123,14 @@ def _rmse(scored: DataFrame) -> float:
 
 def select(table: DataFrame, columns: list[str], kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """model, its parameters, validation and test error and whether it is the choice (least validation error, then name); the choice is fitted again on train and validation before the test."""
-    train, validation, test = split(table.persist())
-    found = tuned(train, validation, columns, kinds)
-    best = min(found, key=lambda k: (found[k][0], k))
-    final = _rmse(fit(best, columns, train.union(validation), found[best][1]).transform(test))
-    return table.sparkSession.createDataFrame([(k, str(p), e, final if k == best else None, k == best) for k, (e, p, _) in found.items()], "model string, params string, validation_rmse double, test_rmse double, chosen boolean")
+    table = table.persist()
+    train, validation, test = spans(table)
+    jobs = [Job(k, p, columns, train, validation) for k in kinds for p in GRIDS[k]]
+    found = errors(scores(table, jobs))
+    chosen = {k: least(jobs, found, k, range(len(jobs))) for k in kinds}
+    best = min(kinds, key=lambda k: (found[chosen[k],][1], k))
+    final = errors(scores(table, [Job(best, jobs[chosen[best]].params, columns, train | validation, test)]))[0,][1]
+    return table.sparkSession.createDataFrame([(k, str(jobs[i].params), found[i,][1], final if k == best else None, k == best) for k, i in chosen.items()], "model string, params string, validation_rmse double, test_rmse double, chosen boolean")
 
 
 def _half_width(scored: DataFrame, alpha: float) -> float | None:
@@ -82,6 +142,13 @@ def _half_width(scored: DataFrame, alpha: float) -> float | None:
     return scored.selectExpr(f"percentile_disc({(k - 0.5) / n}D) WITHIN GROUP (ORDER BY abs(y - prediction)) AS q").first().q
 
 
+def half_widths(scored: DataFrame, alpha: float) -> dict[int, float]:
+    """``_half_width`` of each job at once; jobs for which it is null are absent."""
+    off = F.abs(F.col("y") - F.col("prediction"))
+    ranked = scored.select("job", off.alias("q"), F.row_number().over(Window.partitionBy("job").orderBy(off)).alias("k"), F.count("*").over(Window.partitionBy("job")).alias("n"))
+    return {r.job: r.q for r in ranked.where((F.col("n") >= 20) & (F.col("k") == F.ceil((F.col("n") + 1) * F.lit(1 - alpha)))).select("job", "q").collect()}
+
+
 def _baselines(rows: DataFrame, window: int = 24) -> dict[str, float]:
     """Constant forecasts: zero, the mean and the mean of the last ``window`` targets."""
     last = rows.orderBy(F.desc("h"), "symbol").limit(window)
@@ -100,24 +167,32 @@ def walk_forward(table: DataFrame, columns: list[str], kinds: tuple[str, ...] =
     first = lo + (hi - lo) // 2
     width = (hi - first) // folds + 1
 
-    def one(k: int) -> list[DataFrame]:
+    jobs, again, bounds = [], [], []
+    for k in range(folds):
         a = first + k * width
-        train, validation = table.where(F.col("h") < a - width - purge), table.where((F.col("h") >= a - width) & (F.col("h") < a - purge))
-        both, test = train.union(validation), table.where((F.col("h") >= a) & (F.col("h") < a + width))
-        before, after = _baselines(train), _baselines(both)
-        scored = [(m, {}, validation.withColumn("prediction", F.lit(before[m])), test.withColumn("prediction", F.lit(after[m]))) for m in before]
-        found = tuned(train, validation, columns, kinds)
-        again = dict(zip(kinds, _at_once(lambda m: fit(m, columns, both, found[m][1]), list(kinds)), strict=True))
-        scored += [(m, found[m][1], found[m][2].transform(validation), again[m].transform(test)) for m in kinds]
-        out = []
-        for model, params, held, tested in scored:
-            q = F.lit(_half_width(held, alpha)).cast("double")
-            out.append(tested.select("symbol", "h", "y", F.lit(model).alias("model"), F.lit(str(params)).alias("params"), "prediction", (F.col("prediction") - q).alias("lo"), (F.col("prediction") + q).alias("hi"), F.lit(k).alias("fold")))
-        return out
-
-    parts = [part for fold in _at_once(one, list(range(folds))) for part in fold]
-    out = parts[0]
-    for part in parts[1:]:
+        bounds.append((F.col("h") < a - width - purge, (F.col("h") >= a - width) & (F.col("h") < a - purge), (F.col("h") >= a) & (F.col("h") < a + width)))
+        jobs += [Job(m, p, columns, *bounds[k][:2]) for m in kinds for p in GRIDS[m]]
+    held = scores(table, jobs)
+    found, size = errors(held), len(jobs) // folds
+    chosen = [(k, m, least(jobs, found, m, range(k * size, (k + 1) * size))) for k in range(folds) for m in kinds]
+    again = [Job(m, jobs[i].params, columns, bounds[k][0] | bounds[k][1], bounds[k][2]) for k, m, i in chosen]
+
+    def constants(k: int) -> list[DataFrame]:
+        train, validation, test = bounds[k]
+        before, after = _baselines(table.where(train)), _baselines(table.where(train | validation))
+        return [shown(table.where(test).withColumn("prediction", F.lit(after[m])), m, {}, table.where(validation).withColumn("prediction", F.lit(before[m])), k) for m in before]
+
+    def shown(tested: DataFrame, model: str, params: dict, seen: DataFrame, k: int) -> DataFrame:
+        q = F.lit(_half_width(seen, alpha)).cast("double")
+        return tested.select("symbol", "h", "y", F.lit(model).alias("model"), F.lit(str(params)).alias("params"), "prediction", (F.col("prediction") - q).alias("lo"), (F.col("prediction") + q).alias("hi"), F.lit(k).alias("fold"))
+
+    tested = scores(table, again)
+    parts = [part for fold in _at_once(constants, list(range(folds))) for part in fold]
+    widths = half_widths(held, alpha)
+    of_job = lambda values: F.array(*map(F.lit, values))[F.col("job")]
+    q = of_job([widths.get(i) for _, _, i in chosen]).cast("double")
+    out = tested.select("symbol", "h", "y", of_job([j.kind for j in again]).alias("model"), of_job([str(j.params) for j in again]).alias("params"), "prediction", (F.col("prediction") - q).alias("lo"), (F.col("prediction") + q).alias("hi"), of_job([k for k, _, _ in chosen]).alias("fold"))
+    for part in parts:
         out = out.unionByName(part)
     return out
 
@@ -131,19 +206,13 @@ def gain_importance(table: DataFrame, columns: list[str], kind: str = "boosted",
 
 def per_asset(table: DataFrame, columns: list[str], kind: str = "boosted") -> DataFrame:
     """symbol, test rows, and test errors of a model fitted on the symbol's own rows and of one fitted on all symbols' with their number as a feature."""
-    table = table.persist()
     symbols = sorted(r.symbol for r in table.select("symbol").distinct().collect())
     number = F.create_map(*[F.lit(x) for i, s in enumerate(symbols) for x in (s, float(i))])
-    train, _, test = split(table.withColumn("symbol_id", number[F.col("symbol")]))
-
-    def one(symbol: str | None):
-        return pipeline(kind, columns if symbol else [*columns, "symbol_id"]).fit(train.where(F.col("symbol") == symbol) if symbol else train)
-
-    *own, every = _at_once(one, [*symbols, None])
-    rows = []
-    for symbol, fitted in zip(symbols, own, strict=True):
-        part = test.where(F.col("symbol") == symbol)
-        rows.append((symbol, part.count(), _rmse(fitted.transform(part)), _rmse(every.transform(part))))
+    table = table.withColumn("symbol_id", number[F.col("symbol")]).persist()
+    train, _, test = spans(table)
+    own = [Job(kind, {}, columns, train & (F.col("symbol") == s), test & (F.col("symbol") == s)) for s in symbols]
+    found = errors(scores(table, [*own, Job(kind, {}, [*columns, "symbol_id"], train, test)]), "symbol")
+    rows = [(s, *found.get((i, s), (0, None)), found.get((len(own), s), (0, None))[1]) for i, s in enumerate(symbols)]
     return table.sparkSession.createDataFrame(rows, "symbol string, n_test long, rmse_own double, rmse_global double")
 
 
